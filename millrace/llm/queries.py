@@ -12,6 +12,8 @@ from millrace.llm.mixing import mix
 from millrace.llm.sentencepiece_codec import encode
 from millrace.llm.sharding import shard
 from millrace.llm.simhash import near_dedup
+from millrace.llm.substring import dedup_windows
+from millrace.llm.suffix import dedup_bytes
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +40,14 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir)).drop("source")
 
 
+def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_windows(documents(spark, sf_dir))
+
+
+def op7_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_bytes(documents(spark, sf_dir))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(documents(spark, sf_dir))
 
@@ -51,7 +61,7 @@ FROM n WINDOW w AS (PARTITION BY norm ORDER BY n DESC, doc_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_exact_dedup, op3_simhash, op4_sharding, op5_mixing, op8_language_id)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_exact_dedup, op3_simhash, op4_sharding, op5_mixing, op6_substring, op7_suffix_array, op8_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
