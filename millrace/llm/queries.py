@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm.exact_dedup import exact_dedup
 from millrace.llm.langid import identify
+from millrace.llm.media import describe
 from millrace.llm.mixing import mix
 from millrace.llm.sentencepiece_codec import encode
 from millrace.llm.sharding import shard
@@ -52,6 +53,10 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(documents(spark, sf_dir))
 
 
+def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return describe(documents(spark, sf_dir))
+
+
 OP2_SQL = r"""
 WITH n AS (SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') AS norm FROM documents)
 SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
@@ -61,7 +66,7 @@ FROM n WINDOW w AS (PARTITION BY norm ORDER BY n DESC, doc_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_exact_dedup, op3_simhash, op4_sharding, op5_mixing, op6_substring, op7_suffix_array, op8_language_id)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_exact_dedup, op3_simhash, op4_sharding, op5_mixing, op6_substring, op7_suffix_array, op8_language_id, op10_media)}
 
 
 def oracle_sql() -> dict[str, str]:
