@@ -10,6 +10,7 @@ from millrace.llm.exact_dedup import exact_dedup
 from millrace.llm.langid import identify
 from millrace.llm.media import describe
 from millrace.llm.mixing import mix
+from millrace.llm.quality import classify
 from millrace.llm.sentencepiece_codec import encode
 from millrace.llm.sharding import shard
 from millrace.llm.simhash import near_dedup
@@ -53,6 +54,10 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(documents(spark, sf_dir))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return describe(documents(spark, sf_dir))
 
@@ -66,7 +71,7 @@ FROM n WINDOW w AS (PARTITION BY norm ORDER BY n DESC, doc_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_exact_dedup, op3_simhash, op4_sharding, op5_mixing, op6_substring, op7_suffix_array, op8_language_id, op10_media)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_exact_dedup, op3_simhash, op4_sharding, op5_mixing, op6_substring, op7_suffix_array, op8_language_id, op9_quality, op10_media)}
 
 
 def oracle_sql() -> dict[str, str]:
