@@ -9,8 +9,8 @@ from millrace.functions.types import from_text
 from millrace.operators.fold import cdc
 
 OPS = ("c", "u", "d", "r")
-SCHEMA = "op STRING, `table` STRING, lsn DECIMAL(20,0), commit_ts TIMESTAMP, pk MAP<STRING,STRING>, after MAP<STRING,STRING>, unchanged ARRAY<STRING>, types MAP<STRING,STRING>"
-FIELDS = ("op", "table", "lsn", "commit_ts", "pk", "after", "unchanged", "types")
+SCHEMA = "op STRING, `table` STRING, lsn DECIMAL(20,0), commit_ts TIMESTAMP, pk MAP<STRING,STRING>, after MAP<STRING,STRING>, unchanged ARRAY<STRING>, types MAP<STRING,STRING>, moved_from MAP<STRING,STRING>"
+FIELDS = ("op", "table", "lsn", "commit_ts", "pk", "after", "unchanged", "types", "moved_from")
 
 
 def canonical(m: Column) -> Column:
@@ -25,7 +25,8 @@ def message_key(table: Column, pk: Column) -> Column:
 
 def encode(events: DataFrame) -> DataFrame:
     """``key, value`` of each event. Map values that are null stay in the JSON, null fields don't."""
-    return events.select(message_key(F.col("table"), F.col("pk")).alias("key"), F.to_json(F.struct(*FIELDS)).alias("value"))
+    fields = [f for f in FIELDS if f in events.columns]
+    return events.select(message_key(F.col("table"), F.col("pk")).alias("key"), F.to_json(F.struct(*fields)).alias("value"))
 
 
 def decode(values: DataFrame, column: str = "value", on_error: str = "fail") -> DataFrame:
@@ -56,7 +57,7 @@ def stage(events: DataFrame, pk: list[str], types: dict[str, str], seq: str = "s
     cols = [c for c in canonical_columns(pk, types) if c not in pk]
     key = [from_text(F.try_element_at("pk", F.lit(c)), types[c]).alias(c) for c in sorted(pk)]
     rest = [F.when(F.col("op") != "d", from_text(F.try_element_at("after", F.lit(c)), types[c])).alias(c) for c in cols]
-    return events.select(*key, *rest, cdc(F.col("op"), F.col(seq), F.col("lsn"), F.col("commit_ts"), F.col("unchanged"), F.map_keys("after")))
+    return events.select(*key, *rest, cdc(F.col("op"), F.col(seq), F.col("lsn"), F.col("commit_ts"), F.col("unchanged"), F.map_keys("after"), F.col("moved_from") if "moved_from" in events.columns else None))
 
 
 def batch_shape(events: DataFrame, seq: str = "seq") -> DataFrame:

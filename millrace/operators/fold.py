@@ -2,7 +2,7 @@
 
 A change is a row with the key columns, the other columns and a struct ``_cdc`` (op, seq, lsn, commit_ts, unchanged, present). The
 struct keeps user columns free of names. ``unchanged`` lists columns that an update didn't carry; ``present`` the columns it did (null:
-all others). The rule needs no sequential pass. Let L be a key's last change. For each column let E be the last change that is not a
+all others); ``moved_from`` is the old key of a row whose key changed. The rule needs no sequential pass. Let L be a key's last change. For each column let E be the last change that is not a
 delete and has the column not unchanged. The column's value is E's, if E comes after the last delete; it is unknown (still unchanged)
 if there is no such E, or if E lacks the column and isn't L. So one pre-aggregated grouping by key does it, and a key with very many
 changes is reduced before the shuffle.
@@ -14,10 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CDC = "_cdc"
-CDC_TYPE = "struct<op: string, seq: bigint, lsn: decimal(20,0), commit_ts: timestamp, unchanged: array<string>, present: array<string>>"
 
 
-def cdc(op: Column, seq: Column, lsn: Column | None = None, commit_ts: Column | None = None, unchanged: Column | None = None, present: Column | None = None) -> Column:
+def cdc(op: Column, seq: Column, lsn: Column | None = None, commit_ts: Column | None = None, unchanged: Column | None = None, present: Column | None = None, moved_from: Column | None = None) -> Column:
     """The bookkeeping struct of a change."""
     none = F.lit(None)
     return F.struct(
@@ -27,6 +26,7 @@ def cdc(op: Column, seq: Column, lsn: Column | None = None, commit_ts: Column |
         (none if commit_ts is None else commit_ts).cast("timestamp").alias("commit_ts"),
         F.coalesce((none if unchanged is None else unchanged).cast("array<string>"), F.array().cast("array<string>")).alias("unchanged"),
         (none if present is None else present).cast("array<string>").alias("present"),
+        (none if moved_from is None else moved_from).cast("map<string,string>").alias("moved_from"),
     ).alias(CDC)
 
 
@@ -70,3 +70,29 @@ def materialize(folded: DataFrame) -> DataFrame:
 def as_snapshot(table: DataFrame, seq: int = -(1 << 62), commit_ts: Column | None = None) -> DataFrame:
     """A table as a changelog of ``r`` rows, before all other changes."""
     return table.select("*", cdc(F.lit("r"), F.lit(seq), F.lit(0), commit_ts))
+
+
+def carry(changes: DataFrame, target: DataFrame | None, pk: list[str]) -> DataFrame:
+    """Fill what an insert after a change of key left unchanged from the old key's row, as it was just before.
+
+    That row's history is the table's row and the batch's earlier changes of the old key; both are joined by the text of the key, for
+    the moved rows only. What isn't found there stays unchanged. Keys that change again and again are followed one step in a batch.
+    """
+    cols = columns(changes, pk)
+    moved = changes.filter((F.col(f"{CDC}.op") == "c") & F.col(f"{CDC}.moved_from").isNotNull() & (F.size(f"{CDC}.unchanged") > 0))
+    old = F.array(*(F.try_element_at(F.col(f"{CDC}.moved_from"), F.lit(k)) for k in pk))
+    ids = [f"__m{i}" for i in range(len(pk))]
+    asked = moved.select(*(F.col(f"`{k}`").alias(i) for k, i in zip(pk, ids, strict=True)), F.col(f"{CDC}.seq").alias("__mseq"), old.alias("__old"))
+    known = changes if target is None else changes.unionByName(as_snapshot(target.select(*pk, *(c for c in cols if c in target.columns))), allowMissingColumns=True)
+    here = known.withColumn("__key", F.array(*(F.col(f"`{k}`").cast("string") for k in pk)))
+    seq = F.col(f"{CDC}.seq")
+    past = here.join(asked, (F.col("__key") == F.col("__old")) & (seq < F.col("__mseq")) & ~((F.col(f"{CDC}.op") == "d") & (seq == F.col("__mseq") - 1)))
+    state = fold(past.select(*ids, "__mseq", *(F.col(f"`{c}`") for c in cols), CDC), [*ids, "__mseq"])
+    found = state.filter(F.col(f"{CDC}.op") != "d").select(*ids, "__mseq", F.struct(*(F.col(f"`{c}`") for c in cols)).alias("__v"), F.col(f"{CDC}.unchanged").alias("__still"))
+    rows = changes.join(found, [*(F.col(f"`{k}`") == F.col(i) for k, i in zip(pk, ids, strict=True)), seq == F.col("__mseq")], "left")
+    open_ = F.col(f"{CDC}.unchanged")
+    filled = F.when(F.col("__v").isNotNull(), F.array_except(open_, F.col("__still"))).otherwise(F.array().cast("array<string>"))
+    out = [F.when(F.array_contains(filled, c), F.col(f"__v.`{c}`")).otherwise(F.col(f"`{c}`")).alias(c) for c in cols]
+    present = F.when(F.col(f"{CDC}.present").isNotNull(), F.array_union(f"{CDC}.present", filled))
+    book = cdc(F.col(f"{CDC}.op"), seq, F.col(f"{CDC}.lsn"), F.col(f"{CDC}.commit_ts"), F.array_except(open_, filled), present, F.col(f"{CDC}.moved_from"))
+    return rows.select(*(F.col(f"`{k}`") for k in pk), *out, book)

@@ -60,7 +60,7 @@ def _check(bad: Column, text: str, value: Column) -> Column:
 
 
 def decode(rows: DataFrame, split_keys: bool = True) -> DataFrame:
-    """Change events of row messages with ``rel``: op, table, lsn, commit_ts, pk, after, unchanged, types, seq.
+    """Change events of row messages with ``rel``: op, table, lsn, commit_ts, pk, after, unchanged, types, seq, moved_from.
 
     Raises on: tuples of another length than the relation, unchanged values in an insert, relations without a key, deletes without
     an old tuple, unknown kinds. An update that changes the key becomes a delete of the old and an insert of the new (``split_keys``).
@@ -93,17 +93,17 @@ def decode(rows: DataFrame, split_keys: bool = True) -> DataFrame:
     nothing = F.lit(None)
     map_t, list_t = "map<string,string>", "array<string>"
 
-    def event(op: Column, pk: Column, after: Column, kept: Column, sub: int) -> Column:
-        return F.struct(op.alias("op"), pk.cast(map_t).alias("pk"), after.cast(map_t).alias("after"), kept.cast(list_t).alias("unchanged"), F.lit(sub).alias("sub"))
+    def event(op: Column, pk: Column, after: Column, kept: Column, sub: int, moved_from: Column) -> Column:
+        return F.struct(op.alias("op"), pk.cast(map_t).alias("pk"), after.cast(map_t).alias("after"), kept.cast(list_t).alias("unchanged"), F.lit(sub).alias("sub"), moved_from.cast(map_t).alias("moved_from"))
 
-    delete = event(F.lit("d"), pk_old, nothing, nothing, 0)
-    plain = event(F.when(kind == "I", "c").otherwise("u"), pk_new, entries(present(new_z)), unchanged, 1)
-    insert = event(F.lit("c"), pk_new, entries(present(new_z)), unchanged, 1)
+    delete = event(F.lit("d"), pk_old, nothing, nothing, 0, nothing)
+    plain = event(F.when(kind == "I", "c").otherwise("u"), pk_new, entries(present(new_z)), unchanged, 1, nothing)
+    insert = event(F.lit("c"), pk_new, entries(present(new_z)), unchanged, 1, pk_old)
     events = F.when(kind == "D", F.array(delete)).when(moved & F.lit(split_keys), F.array(delete, insert)).otherwise(F.array(plain))
     types = F.map_from_entries(F.transform(cols, lambda c: F.struct(c["name"].alias("key"), type_name(c["oid"]).alias("value"))))
     out = z.withColumn("types", types).withColumn("e", F.explode(events))
     return out.select(
-        F.col("e.op").alias("op"), F.col("rel.table").alias("table"), "lsn", "commit_ts", F.col("e.pk").alias("pk"), F.col("e.after").alias("after"), F.coalesce("e.unchanged", F.array().cast(list_t)).alias("unchanged"), "types", (2 * F.col("pos") + F.col("e.sub")).alias("seq"), "txn"
+        F.col("e.op").alias("op"), F.col("rel.table").alias("table"), "lsn", "commit_ts", F.col("e.pk").alias("pk"), F.col("e.after").alias("after"), F.coalesce("e.unchanged", F.array().cast(list_t)).alias("unchanged"), "types", (2 * F.col("pos") + F.col("e.sub")).alias("seq"), "txn", F.col("e.moved_from").alias("moved_from"),
     )
 
 

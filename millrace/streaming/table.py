@@ -13,7 +13,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.operators.fold import fold
+from millrace.operators.fold import carry, fold
 from millrace.operators.merge import merge, widen
 
 
@@ -76,8 +76,9 @@ class KeyedTable:
         m = self.manifest()
         if m is not None and m["last_batch_id"] >= batch_id:
             return False
-        folded = fold(changes, self.pk)
         now = self.read()
+        moved = F.col("_cdc.moved_from").isNotNull() & (F.size("_cdc.unchanged") > 0)
+        folded = fold(changes if changes.filter(moved).isEmpty() else carry(changes, now, self.pk), self.pk)
         if now is None:
             now = folded.drop("_cdc").limit(0)
         when = F.current_timestamp() if applied_at is None else applied_at

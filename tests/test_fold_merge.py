@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators.fold import as_snapshot, cdc, fold, materialize
+from millrace.operators.fold import as_snapshot, carry, cdc, fold, materialize
 from millrace.operators.merge import classify, merge, widen
 
 COLS = ("name", "notes")
@@ -105,3 +105,13 @@ def test_fold_plans_one_shuffle(spark):
     df = frame(spark, [(0, 1, "c", 1, {"name": "a", "notes": "b"}, [])])
     plan = fold(df, ["id"])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1
+
+
+def test_change_of_key_carries_what_was_not_sent(spark):
+    """From the table's row (1 to 11), from a change in the same batch (2 to 12), and nothing for a key nobody has seen (3 to 13)."""
+    target = spark.createDataFrame([(1, "a", "big one"), (2, "b", "old two")], "id int, name string, notes string")
+    rows = [(1, None, "d", 10, [], None), (11, "a", "c", 11, ["notes"], {"id": "1"}), (2, "b", "u", 12, [], None), (2, None, "d", 14, [], None), (12, "b", "c", 15, ["notes"], {"id": "2"}), (3, None, "d", 16, [], None), (13, "c", "c", 17, ["notes"], {"id": "3"})]
+    df = spark.createDataFrame(rows, "id int, name string, op string, seq long, kept array<string>, old map<string,string>")
+    df = df.select("id", "name", F.when(F.col("seq") == 12, "new two").alias("notes"), cdc(F.col("op"), F.col("seq"), None, None, F.col("kept"), None, F.col("old")))
+    after = merge(target, fold(carry(df, target, ["id"]), ["id"]), ["id"])
+    assert {tuple(r) for r in after.collect()} == {(11, "a", "big one"), (12, "b", "new two"), (13, "c", None)}
