@@ -2,12 +2,13 @@
 
 Both kinds of substring dedup work in rounds. Documents stand in blocks (by a hash of the id, a few megabytes of text each). In a
 round every block sends sorted arrays of hashes to ranges of the hash space, one row for each range that it has something for; a
-range merges what blocks sent and answers each block. Arrays travel as compressed binary, so that a round costs a few bytes for each
+range merges what blocks sent and answers each block. Texts travel as compressed pages and arrays as compressed binary, so that a round costs a few bytes for each
 hash. All rounds are one plan: the exchange that deals texts to blocks is made once and reused.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,11 +23,55 @@ LAST = (1 << 63) - 1
 BUFFER = 1 << 20
 
 
+PAGES = "block int, ids binary, langs array<string>, sizes binary, texts binary"
+
+
+def to_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts (block, id, language, text) as compressed pages of one block each; a task holds at most 32 MB of them."""
+    held: dict[int, list[tuple]] = defaultdict(list)
+    size = 0
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        for block, rows in held.items():
+            raw = [r[2] for r in rows]
+            ids, sizes = np.array([r[0] for r in rows], np.int64).view(np.uint64), np.array([len(x) for x in raw], np.uint64)
+            page = zstandard.ZstdCompressor(level=3).compress(b"".join(raw))
+            columns = [pa.array([block], pa.int32()), pa.array([pack(ids)]), pa.array([[r[1] for r in rows]], pa.list_(pa.string())), pa.array([pack(sizes)]), pa.array([page])]
+            yield pa.RecordBatch.from_arrays(columns, ["block", "ids", "langs", "sizes", "texts"])
+        held.clear()
+
+    for b in batches:
+        for block, key, lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3), strict=True):
+            raw = text.as_buffer().to_pybytes() if text.is_valid else b""
+            held[block].append((LAST if key is None else key, lang, raw))
+            size += len(raw) + 32
+            if size >= 32 << 20:
+                yield from flush()
+                size = 0
+    yield from flush()
+
+
+def pages(table: pa.Table) -> Iterator[tuple[np.ndarray, list[str | None], list[bytes]]]:
+    """Ids (a null one as LAST), languages and texts of each page of a block."""
+    for ids, langs, sizes, page in zip(table["ids"], table["langs"], table["sizes"], table["texts"], strict=True):
+        ends = np.cumsum(unpack(sizes.as_py()), dtype=np.uint64).tolist()
+        raw = zstandard.ZstdDecompressor().decompress(page.as_py())
+        yield unpack(ids.as_py(), np.int64), langs.as_py(), [raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
+
+def block_table(table: pa.Table) -> pa.Table:
+    """``doc_id, text`` (as bytes) of all pages of a block."""
+    found = list(pages(table))
+    ids = np.concatenate([np.zeros(0, np.int64), *(i for i, _, _ in found)])
+    return pa.table({"doc_id": pa.array(ids, mask=ids == LAST), "text": pa.array([t for _, _, raws in found for t in raws], pa.large_binary())})
+
+
 def by_block(docs: DataFrame, block_bytes: int, id_col: str, text_col: str) -> DataFrame:
-    """``block, doc_id, text``; null text becomes empty. The number of blocks follows the bytes of all texts."""
+    """Pages of blocks; null text becomes empty. The number of blocks follows the bytes of all texts."""
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     n = block_count(docs.sparkSession, size, block_bytes)
-    return docs.select(F.pmod(F.xxhash64(id_col), F.lit(n)).cast("int").alias("block"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = docs.select(F.pmod(F.xxhash64(id_col), F.lit(n)).cast("int").alias("block"), F.col(id_col).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("lang"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(to_pages, PAGES)
 
 
 def ids_of(table: pa.Table) -> np.ndarray:

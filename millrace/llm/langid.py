@@ -28,8 +28,10 @@ class Space:
     _letters: np.ndarray | None = None
 
     def __init__(self, dims: int, cache: int = 1 << 16) -> None:
-        self.dims, self.cache = dims, cache
-        self.codes, self.vectors = np.zeros(0, np.uint64), np.zeros((0, dims), np.int8)
+        self.dims = dims
+        self.rows = np.empty((4096, dims), np.int8)
+        self.codes, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.vectors = np.empty((max(cache, len(self.rows)), dims), np.int8)
 
     @classmethod
     def letters(cls) -> np.ndarray:
@@ -51,23 +53,32 @@ class Space:
             out *= np.roll(self.letter(points), 2 - place, axis=1)[back]
         return out
 
-    def of(self, codes: np.ndarray) -> np.ndarray:
-        """Vectors of sorted, distinct trigrams. The cache only saves time: where it is full it starts anew."""
+    def bundle(self, codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Sum of the vectors of sorted, distinct trigrams, each times its count; exact while the counts add up to less than 2**24."""
+        out, step = np.zeros(self.dims, np.float32), len(self.rows)
+        for i in range(0, len(codes), step):
+            at = self.places(codes[i : i + step])
+            rows = self.rows[: len(at)]
+            self.vectors.take(at, axis=0, out=rows, mode="clip")
+            out += counts[i : i + step].astype(np.float32) @ rows
+        return out
+
+    def places(self, codes: np.ndarray) -> np.ndarray:
+        """Rows of sorted, distinct trigrams in the cache. It only saves time: where it is full it starts anew."""
         at = np.searchsorted(self.codes, codes)
         known = at < len(self.codes)
         known[known] = self.codes[at[known]] == codes[known]
         if not known.all():
             fresh = codes[~known]
-            if len(self.codes) + len(fresh) > self.cache:
-                self.codes, self.vectors = self.codes[:0], self.vectors[:0]
-                if len(codes) > self.cache:
-                    return self.bind(codes)
-                fresh = codes
-            both = np.concatenate([self.codes, fresh])
-            order = both.argsort()
-            self.codes, self.vectors = both[order], np.concatenate([self.vectors, self.bind(fresh)])[order]
+            if len(self.codes) + len(fresh) > len(self.vectors):
+                self.codes, self.slots, fresh = self.codes[:0], self.slots[:0], codes
+            used = len(self.codes)
+            self.vectors[used : used + len(fresh)] = self.bind(fresh)
+            at = np.searchsorted(self.codes, fresh)
+            self.codes = np.insert(self.codes, at, fresh)
+            self.slots = np.insert(self.slots, at, np.arange(used, used + len(fresh)))
             at = np.searchsorted(self.codes, codes)
-        return self.vectors[at]
+        return self.slots[at]
 
 
 def trigrams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -84,6 +95,15 @@ def trigrams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return np.unique((points[:-2] << np.uint64(42)) | (points[1:-1] << np.uint64(21)) | points[2:], return_counts=True)
 
 
+def _sum(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of distinct trigrams over several texts."""
+    codes, counts = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+    order = codes.argsort()
+    codes = codes[order]
+    first = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
+    return codes[first], np.add.reduceat(counts[order], first)
+
+
 @dataclass(frozen=True)
 class Model:
     """Prototypes, one row for each language; as large as languages times dimensions."""
@@ -100,15 +120,19 @@ def learn(docs: DataFrame, dims: int = 1024, max_languages: int = 2000, text_col
     """Prototypes from the rows with a language. ``max_languages`` bounds what the driver holds; more is an error, not a cut."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        space, total = Space(dims), defaultdict(lambda: np.zeros(dims, np.int64))
+        space, held = Space(dims), defaultdict(list)
+        size = 0
         for b in batches:
             for text, lang in zip(b.column(0), b.column(1), strict=True):
-                codes, counts = trigrams(text.as_py())
-                if len(codes):
-                    # float32 sums of whole numbers below 2**24 are exact; longer texts are summed as integers
-                    v = space.of(codes)
-                    total[lang.as_py()] += (counts.astype(np.float32) @ v).astype(np.int64) if counts.sum() < 1 << 24 else counts @ v.astype(np.int64)
-        for lang, v in total.items():
+                if len((found := trigrams(text.as_py()))[0]):
+                    held[lang.as_py()].append(found)
+                    size += len(found[0])
+            if size > 1 << 21:
+                held = defaultdict(list, {lang: [_sum(x)] for lang, x in held.items()})
+                size = sum(len(x[0][0]) for x in held.values()) // 2
+        for lang, x in held.items():
+            codes, counts = _sum(x)
+            v = sum((counts[i : i + 256] @ space.bind(codes[i : i + 256]).astype(np.int64) for i in range(0, len(codes), 256)), np.zeros(dims, np.int64))
             yield pa.RecordBatch.from_arrays([pa.array([lang] * dims), pa.array(np.arange(dims, dtype=np.int32)), pa.array(v)], ["lang", "i", "v"])
 
     rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
@@ -135,7 +159,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", pred_col: str
                 codes, counts = trigrams(text.as_py())
                 best, cosine = UNKNOWN, 0.0
                 if len(codes) and model.languages:
-                    v = counts.astype(np.float32) @ space.of(codes)
+                    v = space.bundle(codes, counts)
                     cos = (prototypes @ v) / max(float(np.linalg.norm(v)), 1e-30)
                     k = int(cos.argmax())
                     best, cosine = model.languages[k], min(1.0, max(0.0, float(cos[k])))

@@ -5,24 +5,22 @@ shard sums them. The tables of all orders follow by joins: continuation counts b
 the next lower order by suffix. Shards answer each block with the probabilities of its n-grams, and blocks score their documents. A
 document stays if its perplexity is within a quantile, for its language, of trusted text that the model was not trained on.
 
-All is one plan; the exchanges of blocks, of messages and of the summed n-grams are made once and reused. What travels are distinct
+All up to the scores is one plan; the exchanges of blocks, of messages and of the summed n-grams are made once and reused. What travels are distinct
 n-grams of a block, so it grows with the corpus until a language's n-grams are all known.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.blocks import LAST, pack, pack_sorted, unpack, unpack_sorted
-from millrace.llm.common import block_count, mix64
+from millrace.llm.blocks import BUFFER, LAST, PAGES, pack, pack_sorted, pages, to_pages, unpack, unpack_sorted
+from millrace.llm.common import block_count, checkpointed, mix64
 
 BITS = 12
 BEGIN, END, GAP = 1, 2, 32
@@ -60,49 +58,15 @@ def grams(texts: list[str], order: int) -> tuple[np.ndarray, np.ndarray]:
     return code[ok], text[:n][ok]
 
 
-# ---- blocks -------------------------------------------------------------------------------------
-
-PACKED = "block int, ids binary, langs array<string>, sizes binary, texts binary"
-
-
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts (block, id, language, text) as compressed pages of one block each; a task holds at most 32 MB of them."""
-    held: dict[int, list[tuple]] = defaultdict(list)
-    size = 0
-
-    def flush() -> Iterator[pa.RecordBatch]:
-        for block, rows in held.items():
-            raw = [r[2] for r in rows]
-            page = zstandard.ZstdCompressor(level=3).compress(b"".join(raw))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([block], pa.int32()), pa.array([pack(np.array([r[0] for r in rows], np.int64).view(np.uint64))]), pa.array([[r[1] for r in rows]], pa.list_(pa.string())), pa.array([pack(np.array([len(x) for x in raw], np.uint64))]), pa.array([page])],
-                ["block", "ids", "langs", "sizes", "texts"],
-            )
-        held.clear()
-
-    for b in batches:
-        for block, key, lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3), strict=True):
-            raw = text.as_buffer().to_pybytes() if text.is_valid else b""
-            held[block].append((LAST if key is None else key, lang, raw))
-            size += len(raw) + 32
-            if size >= 32 << 20:
-                yield from flush()
-                size = 0
-    yield from flush()
-
-
 def _texts(table: pa.Table) -> Iterator[tuple[np.ndarray, list[str | None], list[str]]]:
-    """Ids, languages and texts of a block, about a megabyte at a time."""
-    for ids, langs, sizes, page in zip(table["ids"], table["langs"], table["sizes"], table["texts"], strict=True):
-        key, lang, size = unpack(ids.as_py(), np.int64), langs.as_py(), unpack(sizes.as_py()).tolist()
-        raw, at, start, texts, held = zstandard.ZstdDecompressor().decompress(page.as_py()), 0, 0, [], 0
-        for i, n in enumerate(size):
-            texts.append(raw[at : at + n].decode().lower())
-            at += n
-            held += n
-            if held >= 1 << 20 or i == len(size) - 1:
-                yield key[start : i + 1], lang[start : i + 1], texts
-                start, texts, held = i + 1, [], 0
+    """Ids, languages and lower-cased texts of a block, about a megabyte at a time."""
+    for ids, langs, raws in pages(table):
+        start, held = 0, 0
+        for i, raw in enumerate(raws):
+            held += len(raw)
+            if held >= BUFFER or i == len(raws) - 1:
+                yield ids[start : i + 1], langs[start : i + 1], [r.decode().lower() for r in raws[start : i + 1]]
+                start, held = i + 1, 0
 
 
 class _Sum:
@@ -158,7 +122,6 @@ def probabilities(counts: DataFrame, order: int) -> DataFrame:
     for k in range(order - 1, 0, -1):
         suffix = F.col("g").bitwiseAND(F.lit((1 << BITS * k) - 1))
         levels[k] = levels[k + 1].groupBy(suffix.alias("g")).agg(F.sum((F.col("c") > 0).cast("long")).alias("c"))
-    discounts = F.broadcast(_union([_discounts(levels[k], k) for k in levels]))
     kinds = levels[1].agg(F.count(F.lit(1)).cast("double").alias("v")).select(F.lit(1).alias("k"), "v")
     lower = None
     for k in range(1, order + 1):
@@ -167,7 +130,7 @@ def probabilities(counts: DataFrame, order: int) -> DataFrame:
         rows = (
             levels[k]
             .withColumn("k", F.lit(k))
-            .join(discounts, "k")
+            .join(F.broadcast(_discounts(levels[k], k)), "k")
             .withColumn("h", F.shiftright("g", BITS))
             .withColumn("s", F.sum("c").over(by))
             .withColumn("held", F.sum(d).over(by))
@@ -183,13 +146,6 @@ def probabilities(counts: DataFrame, order: int) -> DataFrame:
     return lower
 
 
-def _union(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
 # ---- the operator -------------------------------------------------------------------------------
 
 
@@ -213,7 +169,7 @@ def classify(docs: DataFrame, labels: DataFrame, order: int = 5, quantile: float
     def block(c: str) -> Column:
         return F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(n_blocks)).cast("int").alias("block")
 
-    pages = docs.select(block(id_col), F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInArrow(_pack, PACKED)
+    paged = docs.select(block(id_col), F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInArrow(to_pages, PAGES)
     good = labels.groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max(F.coalesce("toxic", F.lit(0))).alias("toxic"))
     trusted = good.filter("quality = 1 AND toxic <> 1 AND doc_id IS NOT NULL").select(block("doc_id"), F.col("doc_id").cast("long"), (F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(calibrate)) == 0).alias("held"))
 
@@ -271,13 +227,13 @@ def classify(docs: DataFrame, labels: DataFrame, order: int = 5, quantile: float
         kinds = (pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.float64())
         return pa.table([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["doc_id", "lang", "role", "n_symbols", "entropy"])
 
-    messages = pages.groupBy("block").cogroup(trusted.groupBy("block")).applyInArrow(message, "shard int, block int, g binary, c binary")
+    messages = paged.groupBy("block").cogroup(trusted.groupBy("block")).applyInArrow(message, "shard int, block int, g binary, c binary")
     counts = messages.groupBy("shard").applyInArrow(summed, "g long, c long").repartition(shards, "g")
     sharded = probabilities(counts, order).mapInArrow(_with_shard(shards), "shard int, g long, p double")
     answers = messages.groupBy("shard").cogroup(sharded.groupBy("shard")).applyInArrow(answer, "block int, shard int, g binary, p binary")
     told = answers.select("block", "g", "p", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("boolean").alias("held")).unionByName(trusted.select("block", F.lit(None).cast("binary").alias("g"), F.lit(None).cast("binary").alias("p"), "doc_id", "held"))
-    scored = pages.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(score, "doc_id long, lang string, role int, n_symbols long, entropy double").repartition(shards, "doc_id", "n_symbols")
-    return _judge(scored, quantile, slack)
+    scored = paged.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(score, "doc_id long, lang string, role int, n_symbols long, entropy double")
+    return _judge(checkpointed(scored), quantile, slack)
 
 
 def _with_shard(shards: int):

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from millrace.llm.blocks import BUFFER, PAIRS, REMOVE, VERDICTS, Cells, buffers, by_block, find_pairs, ids_of, judge, lowest, send_pairs, told
+from millrace.llm.blocks import BUFFER, PAIRS, REMOVE, VERDICTS, Cells, block_table, buffers, by_block, find_pairs, ids_of, judge, lowest, send_pairs, told
 from millrace.llm.common import Rolling, byte_table, mix64, word_bounds
 
 _GAP = re.compile(rb"[\x20\x09-\x0D]")
@@ -61,7 +61,7 @@ class Windows:
         return k, s, ids[d.astype(np.int64)] if len(d) else np.zeros(0, np.int64)
 
 
-def dedup_windows(docs: DataFrame, window: int = 13, rows: int = 2, cells_per_byte: float = 1.25, block_bytes: int = 8 << 20, with_text: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_windows(docs: DataFrame, window: int = 13, rows: int = 2, cells_per_byte: float = 1.25, block_bytes: int = 4 << 20, with_text: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each input row: ``doc_id, n_words, n_removed, kept_sha256`` and, if asked for, ``kept_text``.
 
     A word goes if a window of ``window`` consecutive words covers it whose words also start in a document with a smaller id; windows
@@ -79,11 +79,11 @@ def dedup_windows(docs: DataFrame, window: int = 13, rows: int = 2, cells_per_by
     cells = Cells(max(16, int(np.ceil(np.log2(max(1.0, total * cells_per_byte))))), rows, n_stripes)
 
     def sketch(key: tuple, table: pa.Table) -> pa.Table:
-        k, _, d = Windows(window).block(table)
+        k, _, d = Windows(window).block(block_table(table))
         return cells.send(key[0].as_py(), k, d)
 
     def candidates(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        k, s, d = Windows(window).block(left)
+        k, s, d = Windows(window).block(block_table(left))
         hot = cells.repeated(k, d, right)
         k, s, d, _ = lowest(k[hot], s[hot], d[hot])
         return send_pairs(key[0].as_py(), k, s, d, n_stripes)
@@ -98,7 +98,7 @@ def dedup_windows(docs: DataFrame, window: int = 13, rows: int = 2, cells_per_by
 
 def _remover(window: int, with_text: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def remove(left: pa.Table, right: pa.Table) -> pa.Table:
-        windows, out = Windows(window), []
+        windows, out, left = Windows(window), [], block_table(left)
         gone_k, gone_s = told(right, REMOVE)
         k, s, d = windows.block(left)
         one, two, least, back = lowest(k, s, d)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.blocks import BUFFER, PAIRS, REFINE, REMOVE, VERDICTS, Cells, by_block, find_pairs, ids_of, judge, lowest, send_pairs, told
+from millrace.llm.blocks import BUFFER, PAIRS, REFINE, REMOVE, VERDICTS, Cells, block_table, by_block, find_pairs, ids_of, judge, lowest, send_pairs, told
 from millrace.llm.common import Rolling, byte_table, mix64
 
 #: Low bits of a sliding minimum hold the place in a buffer (of at most 4 MB), the others the hash. Always as many, so that ties fall alike.
@@ -115,7 +115,9 @@ class Suffixes:
             at += len(p.first)
             if len(pick):
                 place = spread(p.first[pick], p.last[pick])
-                out.append((p.gram[place], p.gram[place + self.reach], np.repeat(ids[p.doc[pick]], p.last[pick] - p.first[pick] + 1)))
+                near, far = p.gram[place], p.gram[place + self.reach]
+                # 104 bits of the pair: what is sorted by and told apart by
+                out.append((mix64(near + mix64(far)), mix64(far + mix64(near) * np.uint64(3)) >> np.uint64(24), np.repeat(ids[p.doc[pick]], p.last[pick] - p.first[pick] + 1)))
         none = np.zeros(0, np.uint64)
         return tuple(np.concatenate([none if i < 2 else none.astype(np.int64), *(x[i] for x in out)]) for i in range(3))
 
@@ -134,7 +136,7 @@ def _settled(s: Suffixes, left: pa.Table, right: pa.Table) -> tuple[np.ndarray,
     return gone, (find_pairs(*told(right, REFINE), one, two) >= 0)[back] & ~gone
 
 
-def dedup_bytes(docs: DataFrame, length: int = 50, cells_per_byte: float = 0.6, block_bytes: int = 8 << 20, with_bytes: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_bytes(docs: DataFrame, length: int = 50, cells_per_byte: float = 0.6, block_bytes: int = 4 << 20, with_bytes: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each input row: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` and, if asked for, ``spans`` and ``kept``.
 
     A byte goes if a string of ``length`` bytes covers it that also starts in a document with a smaller id; strings are judged on the
@@ -149,17 +151,17 @@ def dedup_bytes(docs: DataFrame, length: int = 50, cells_per_byte: float = 0.6,
     cells = Cells(max(16, int(np.ceil(np.log2(max(1.0, total * cells_per_byte))))), 1, n_buckets)
 
     def initial(key: tuple, table: pa.Table) -> pa.Table:
-        g, _, d = Suffixes(length).runs(table)
+        g, _, d = Suffixes(length).runs(block_table(table))
         return cells.send(key[0].as_py(), g, d)
 
     def members(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        g, r, d = Suffixes(length).runs(left)
+        g, r, d = Suffixes(length).runs(block_table(left))
         many = cells.repeated(g, d, right)
         g, r, d, _ = lowest(g[many], r[many], d[many])
         return send_pairs(key[0].as_py(), g, r, d, n_buckets)
 
     def refined(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        s = Suffixes(length)
+        s, left = Suffixes(length), block_table(left)
         _, refine = _settled(s, left, right)
         k, t, d, _ = lowest(*s.suffixes(left, refine))
         return send_pairs(key[0].as_py(), k, t, d, n_buckets)
@@ -177,7 +179,7 @@ def dedup_bytes(docs: DataFrame, length: int = 50, cells_per_byte: float = 0.6,
 
 def _remover(length: int, with_bytes: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def remove(left: pa.Table, right: pa.Table) -> pa.Table:
-        s = Suffixes(length)
+        s, left = Suffixes(length), block_table(left)
         depth = right["depth"].to_numpy() if right.num_rows else np.zeros(0, int)
         gone, refine = _settled(s, left, right.filter(pa.array(depth == 1)))
         k, t, d = s.suffixes(left, refine)

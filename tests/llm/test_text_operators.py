@@ -162,12 +162,17 @@ def test_language_id(docs, edges, empty):
 def test_trigrams_and_vectors():
     codes, counts = langid.trigrams("Ab, ab!")
     assert counts.sum() == 5 and dict(Counter(counts.tolist())) == {2: 2, 1: 1}
-    space = langid.Space(1024, cache=4)
+    space = langid.Space(1024)
     a, b, c = (space.letter(np.array([ord(x)]))[0].astype(int) for x in "abc")
     code = np.array([(ord("a") << 42) | (ord("b") << 21) | ord("c")], np.uint64)
-    assert (space.of(code)[0] == np.roll(a, 2) * np.roll(b, 1) * c).all()
-    many = np.sort(langid.trigrams("the cache is smaller than this text")[0])
-    assert (space.of(many) == langid.Space(1024).of(many)).all()
+    assert (space.bundle(code, np.array([1])) == np.roll(a, 2) * np.roll(b, 1) * c).all()
+    space.vectors = space.vectors[:40]  # a cache that is soon full
+    for word in ("abcdefgh", "ijklmnop", "qrstuvwxyz", "abcdefgh"):
+        codes, counts = langid.trigrams(word * 2)
+        assert (space.bundle(codes, counts) == counts @ space.bind(codes)).all()
+    many, counts = langid.trigrams("and a longer text")
+    assert (space.bundle(many, counts) == langid.Space(1024).bundle(many, counts)).all()
+    assert (space.bundle(many, counts) == counts @ space.bind(many)).all()
 
 
 # ---- 9 ------------------------------------------------------------------------------------------
