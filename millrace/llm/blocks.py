@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from millrace.llm.common import block_count, mix64
 
 LAST = (1 << 63) - 1
-BUFFER = 1 << 20
+BUFFER = 1 << 17
 
 
 PAGES = "block int, ids binary, langs array<string>, sizes binary, texts binary"
@@ -119,8 +119,18 @@ def runs(a: np.ndarray) -> np.ndarray:
 
 def lowest(key: np.ndarray, second: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct (key, second), sorted, with the smallest doc of each; and for each input the index of its pair."""
-    order = np.lexsort((second, key))
+    order = key.argsort()
     k, s = key[order], second[order]
+    same = k[1:] == k[:-1]
+    mixed = same & (s[1:] != s[:-1])
+    if mixed.any():  # only keys that stand with different seconds need the second sort
+        group = np.cumsum(np.concatenate([[0], ~same]))
+        hit = np.zeros(group[-1] + 1, bool)
+        hit[group[1:][mixed]] = True
+        at = np.flatnonzero(hit[group])
+        part = order[at]
+        order[at] = part[np.lexsort((second[part], key[part]))]
+        s = second[order]
     new = np.concatenate([[True], (k[1:] != k[:-1]) | (s[1:] != s[:-1])]) if len(k) else np.zeros(0, bool)
     first = np.flatnonzero(new)
     back = np.empty(len(k), np.int64)
@@ -133,13 +143,16 @@ def find_pairs(key: np.ndarray, second: np.ndarray, k: np.ndarray, s: np.ndarray
     out = np.full(len(k), -1, np.int64)
     if not len(key):
         return out
-    lo, hi = np.searchsorted(key, k, "left"), np.searchsorted(key, k, "right")
-    at = np.minimum(lo, len(key) - 1)
-    while (open_ := (at < hi) & (out < 0)).any():  # more than one step only where two pairs share a 64-bit key
-        i = np.flatnonzero(open_)
-        hit = second[at[i]] == s[i]
-        out[i[hit]] = at[i[hit]]
-        at[i] += 1
+    at = np.minimum(np.searchsorted(key, k), len(key) - 1)
+    i = np.flatnonzero(key[at] == k)
+    at = at[i]
+    while len(i):  # more than one step only where two pairs share a 64-bit key
+        hit = second[at] == s[i]
+        out[i[hit]] = at[hit]
+        i, at = i[~hit], at[~hit] + 1
+        more = at < len(key)
+        more[more] = key[at[more]] == k[i[more]]
+        i, at = i[more], at[more]
     return out
 
 
@@ -196,17 +209,19 @@ class Cells:
             found.append(np.packbits(hot[at] == c if len(hot) else np.zeros(len(c), bool)).tobytes())
         return pa.table({"block": table["block"], "line": table["line"], "stripe": table["stripe"], "hot": pa.array(found, pa.binary())})
 
-    def repeated(self, key: np.ndarray, doc: np.ndarray, answer: pa.Table) -> np.ndarray:
+    def repeated(self, key: np.ndarray, answer: pa.Table) -> np.ndarray:
         """For each key whether its smallest counter is above one."""
         told = {(r["line"], r["stripe"]): r["hot"] for r in answer.select(["line", "stripe", "hot"]).to_pylist()}
         out = np.ones(len(key), bool)
         for row in range(self.rows):
-            cells, _ = self.sketch(key, doc, row)
+            cells = self.cell(key, row)
+            order = cells.argsort()
+            start = runs(cells[order])
+            cells = cells[order][start]
             hot = np.zeros(len(cells), bool)
             for stripe, a, b in self.ranges(cells):
                 hot[a:b] = np.unpackbits(np.frombuffer(told[row, stripe], np.uint8), count=b - a)
-            if len(key):
-                out &= hot[np.searchsorted(cells, self.cell(key, row))]
+            out[order] &= np.repeat(hot, np.diff(np.append(start, len(key))))
         return out
 
 

@@ -84,7 +84,7 @@ def dedup_windows(docs: DataFrame, window: int = 13, rows: int = 2, cells_per_by
 
     def candidates(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         k, s, d = Windows(window).block(block_table(left))
-        hot = cells.repeated(k, d, right)
+        hot = cells.repeated(k, right)
         k, s, d, _ = lowest(k[hot], s[hot], d[hot])
         return send_pairs(key[0].as_py(), k, s, d, n_stripes)
 

@@ -156,7 +156,7 @@ def dedup_bytes(docs: DataFrame, length: int = 50, cells_per_byte: float = 0.6,
 
     def members(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         g, r, d = Suffixes(length).runs(block_table(left))
-        many = cells.repeated(g, d, right)
+        many = cells.repeated(g, right)
         g, r, d, _ = lowest(g[many], r[many], d[many])
         return send_pairs(key[0].as_py(), g, r, d, n_buckets)
 
