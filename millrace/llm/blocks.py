@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 from millrace.llm.common import block_count, mix64
@@ -74,6 +74,11 @@ def by_block(docs: DataFrame, block_bytes: int, id_col: str, text_col: str) -> D
     return rows.mapInArrow(to_pages, PAGES)
 
 
+def gathered(df: DataFrame, key: str, n: int, *more: str) -> GroupedData:
+    """Groups of ``key`` (0 to n - 1), a task for each: hashing so few keys would put several of them in one task."""
+    return df.repartitionById(n, key).groupBy(key, *more)
+
+
 def ids_of(table: pa.Table) -> np.ndarray:
     """Ids as numbers; a null id stands behind all others."""
     return table["doc_id"].combine_chunks().fill_null(LAST).to_numpy(zero_copy_only=False)

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from millrace.llm.blocks import BUFFER, PAIRS, REMOVE, VERDICTS, Cells, block_table, buffers, by_block, find_pairs, ids_of, judge, lowest, send_pairs, told
+from millrace.llm.blocks import BUFFER, PAIRS, REMOVE, VERDICTS, Cells, block_table, buffers, by_block, find_pairs, gathered, ids_of, judge, lowest, send_pairs, told
 from millrace.llm.common import Rolling, byte_table, mix64, word_bounds
 
 _GAP = re.compile(rb"[\x20\x09-\x0D]")
@@ -89,9 +89,9 @@ def dedup_windows(docs: DataFrame, window: int = 13, rows: int = 2, cells_per_by
         return send_pairs(key[0].as_py(), k, s, d, n_stripes)
 
     sketches = placed.groupBy("block").applyInArrow(sketch, Cells.SENT)
-    answers = sketches.groupBy("stripe", "line").applyInArrow(Cells.merge, Cells.ANSWER)
+    answers = gathered(sketches, "stripe", n_stripes, "line").applyInArrow(Cells.merge, Cells.ANSWER)
     pairs = placed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(candidates, PAIRS)
-    verdicts = pairs.groupBy("bucket").applyInArrow(lambda t: judge(t, False), VERDICTS)
+    verdicts = gathered(pairs, "bucket", n_stripes).applyInArrow(lambda t: judge(t, False), VERDICTS)
     kept = f"doc_id long, n_words long, n_removed long, kept_sha256 string{', kept_text string' if with_text else ''}"
     return placed.groupBy("block").cogroup(verdicts.groupBy("block")).applyInArrow(_remover(window, with_text), kept)
 

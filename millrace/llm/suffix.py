@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.blocks import BUFFER, PAIRS, REFINE, REMOVE, VERDICTS, Cells, block_table, by_block, find_pairs, ids_of, judge, lowest, send_pairs, told
+from millrace.llm.blocks import BUFFER, PAIRS, REFINE, REMOVE, VERDICTS, Cells, block_table, by_block, find_pairs, gathered, ids_of, judge, lowest, send_pairs, told
 from millrace.llm.common import Rolling, byte_table, mix64
 
 #: Low bits of a sliding minimum hold the place in a buffer (of at most 4 MB), the others the hash. Always as many, so that ties fall alike.
@@ -169,9 +169,9 @@ def dedup_bytes(docs: DataFrame, length: int = 50, cells_per_byte: float = 0.6,
     def block(df: DataFrame):
         return df.groupBy("block")
 
-    counted = block(placed).applyInArrow(initial, Cells.SENT).groupBy("stripe", "line").applyInArrow(Cells.merge, Cells.ANSWER)
-    by_run = block(placed).cogroup(block(counted)).applyInArrow(members, PAIRS).groupBy("bucket").applyInArrow(lambda t: judge(t, True), VERDICTS)
-    by_suffix = block(placed).cogroup(block(by_run)).applyInArrow(refined, PAIRS).groupBy("bucket").applyInArrow(lambda t: judge(t, False), VERDICTS)
+    counted = gathered(block(placed).applyInArrow(initial, Cells.SENT), "stripe", n_buckets, "line").applyInArrow(Cells.merge, Cells.ANSWER)
+    by_run = gathered(block(placed).cogroup(block(counted)).applyInArrow(members, PAIRS), "bucket", n_buckets).applyInArrow(lambda t: judge(t, True), VERDICTS)
+    by_suffix = gathered(block(placed).cogroup(block(by_run)).applyInArrow(refined, PAIRS), "bucket", n_buckets).applyInArrow(lambda t: judge(t, False), VERDICTS)
     verdicts = by_run.withColumn("depth", F.lit(1)).unionByName(by_suffix.withColumn("depth", F.lit(2)))
     kept = f"doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string{', spans array<struct<start: long, end: long>>, kept binary' if with_bytes else ''}"
     return block(placed).cogroup(block(verdicts)).applyInArrow(_remover(length, with_bytes), kept)
