@@ -101,8 +101,8 @@ class Suffixes:
         return mix64(h + p.gram[p.last + self.reach] + ((p.last - p.first).astype(np.uint64) << np.uint64(32)))
 
     def runs(self, table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Lowest q-gram, run identifier and document id of all runs of a block."""
-        ids, found = ids_of(table), [(p.gram[p.low] if len(p.low) else p.gram[:0], self.run_id(p) if len(p.low) else p.gram[:0], p.doc) for p in self.parts(table)]
+        """Lowest q-gram (mixed again, as minima crowd near zero), run identifier and document id of all runs of a block."""
+        ids, found = ids_of(table), [(mix64(p.gram[p.low]) if len(p.low) else p.gram[:0], self.run_id(p) if len(p.low) else p.gram[:0], p.doc) for p in self.parts(table)]
         none = np.zeros(0, np.uint64)
         g, r, d = (np.concatenate([none if i < 2 else none.astype(np.int64), *(x[i] for x in found)]) for i in range(3))
         return g, r, ids[d] if len(d) else d
