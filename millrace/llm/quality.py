@@ -3,7 +3,8 @@
 Documents stand in blocks, compressed. Each block sends its distinct n-grams, with their counts in trusted text, to shards by hash; a
 shard sums them. The tables of all orders follow by joins: continuation counts by suffix, sums and numbers of followers by context,
 the next lower order by suffix. Shards answer each block with the probabilities of its n-grams, and blocks score their documents. A
-document stays if its perplexity is within a quantile, for its language, of trusted text that the model was not trained on.
+document stays if its perplexity is within a quantile, for its language, of trusted text that the model was not trained on, and if so
+is its share of repeated words: to any n-gram model, a common word over and over is likely text.
 
 All up to the scores is one plan; the exchanges of blocks, of messages and of the summed n-grams are made once and reused. What travels are distinct
 n-grams of a block, so it grows with the corpus until a language's n-grams are all known.
@@ -58,6 +59,23 @@ def grams(texts: list[str], order: int) -> tuple[np.ndarray, np.ndarray]:
     return code[ok], text[:n][ok]
 
 
+def repeated(texts: list[str], reach: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """Words of each text, and how many of them repeat: the word before, or with it the two words a phrase of at most ``reach`` words back."""
+    known: dict[bytes, int] = {}
+    cut = [t.encode("utf-8", "surrogatepass").split() for t in texts]
+    n = np.array([len(w) for w in cut], np.int64)
+    word = np.fromiter((known.setdefault(x, len(known)) for w in cut for x in w), np.int64, n.sum())
+    text = np.repeat(np.arange(len(texts)), n)
+    again = np.zeros(len(word), bool)
+    for back in range(1, reach + 1):
+        same = (word[back:] == word[:-back]) & (text[back:] == text[:-back])
+        if back == 1:
+            again[1:] |= same
+        else:
+            again[back + 1 :] |= same[1:] & same[:-1]
+    return n, np.bincount(text[again], minlength=len(texts))
+
+
 def _texts(table: pa.Table) -> Iterator[tuple[np.ndarray, list[str | None], list[str]]]:
     """Ids, languages and lower-cased texts of a block, about a megabyte at a time."""
     for ids, langs, raws in pages(table):
@@ -149,13 +167,15 @@ def probabilities(counts: DataFrame, order: int) -> DataFrame:
 # ---- the operator -------------------------------------------------------------------------------
 
 
-def classify(docs: DataFrame, labels: DataFrame, order: int = 5, quantile: float = 0.995, calibrate: int = 5, slack: float = 2.0, block_bytes: int = 16 << 20, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """One row for each input row: ``doc_id, lang, trusted, n_symbols, perplexity, threshold, kept``.
+def classify(docs: DataFrame, labels: DataFrame, order: int = 5, quantile: float = 0.995, calibrate: int = 5, slack: float = 2.0, share_slack: float = 1.0, block_bytes: int = 16 << 20, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """One row for each input row: ``doc_id, lang, trusted, n_symbols, perplexity, threshold, repeats, most_repeats, kept``.
 
     Trusted are documents that ``labels`` (doc_id, quality, toxic) has as quality 1 and never as toxic 1. Of these, ids that hash to 0
     modulo ``calibrate`` are not trained on: ``quantile`` of their perplexities is the threshold of their language, or of all
     languages where a language has none. Perplexity is per symbol, the end of the text included. ``order`` is at most 5. The mean over
     a short text says little, so ``slack / sqrt(n_symbols)`` is allowed on its logarithm, in calibration as in the decision.
+    ``repeats`` is the share of words that repeat what stands just before (``repeated``); its threshold ``most_repeats`` is that quantile of
+    the same documents, at least 0, with ``share_slack / sqrt(words)`` allowed. Both count lower-cased text.
 
     Null, empty and blank texts have no perplexity and aren't kept. Without trusted text to calibrate on, thresholds are null and all
     documents with text are kept. A null language is a language of its own. Repeated rows are documents of their own; a null id is
@@ -213,27 +233,30 @@ def classify(docs: DataFrame, labels: DataFrame, order: int = 5, quantile: float
         g, p = g[o], p[o].astype(float)
         flags = right.filter(pc.is_valid(right["doc_id"]))
         train, held = known(flags, False), known(flags, True)
-        cols = [[] for _ in range(5)]
+        cols = [[] for _ in range(7)]
         for ids, langs, texts in _texts(left):
             code, text = grams(texts, order)
             n = np.bincount(text, minlength=len(texts))
             total = np.bincount(text, p[np.searchsorted(g, code)], len(texts))
+            words, again = repeated(texts)
             blank = np.array([not t.strip(" \t\n\r\x0b\x0c") for t in texts])
             cols[0] += [None if i == LAST else i for i in ids.tolist()]
             cols[1] += langs
             cols[2] += np.where(np.isin(ids, train), 1, np.where(np.isin(ids, held), 2, 0)).tolist()
             cols[3] += np.where(blank, 0, n).tolist()
             cols[4] += [None if b else x for b, x in zip(blank.tolist(), (-total / n).tolist(), strict=True)]
-        kinds = (pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.float64())
-        return pa.table([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["doc_id", "lang", "role", "n_symbols", "entropy"])
+            cols[5] += words.tolist()
+            cols[6] += again.tolist()
+        kinds = (pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
+        return pa.table([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["doc_id", "lang", "role", "n_symbols", "entropy", "n_words", "n_repeated"])
 
     messages = paged.groupBy("block").cogroup(trusted.groupBy("block")).applyInArrow(message, "shard int, block int, g binary, c binary")
     counts = messages.groupBy("shard").applyInArrow(summed, "g long, c long").repartition(shards, "g")
     sharded = probabilities(counts, order).mapInArrow(_with_shard(shards), "shard int, g long, p double")
     answers = messages.groupBy("shard").cogroup(sharded.groupBy("shard")).applyInArrow(answer, "block int, shard int, g binary, p binary")
     told = answers.select("block", "g", "p", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("boolean").alias("held")).unionByName(trusted.select("block", F.lit(None).cast("binary").alias("g"), F.lit(None).cast("binary").alias("p"), "doc_id", "held"))
-    scored = paged.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(score, "doc_id long, lang string, role int, n_symbols long, entropy double")
-    return _judge(checkpointed(scored), quantile, slack)
+    scored = paged.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(score, "doc_id long, lang string, role int, n_symbols long, entropy double, n_words long, n_repeated long")
+    return _judge(checkpointed(scored), quantile, slack, share_slack)
 
 
 def _with_shard(shards: int):
@@ -245,22 +268,28 @@ def _with_shard(shards: int):
     return run
 
 
-def _judge(scored: DataFrame, quantile: float, slack: float) -> DataFrame:
-    """Thresholds from the held-out trusted documents: the quantile of entropies in steps of a thousandth, over all of them."""
-    scored = scored.withColumn("sure", F.col("entropy") - slack / F.sqrt("n_symbols"))
-    steps = scored.filter("role = 2 AND entropy IS NOT NULL").select("lang", F.ceil(F.col("sure") * 1000).cast("long").alias("step"))
-    count = steps.groupBy("lang", "step").agg(F.count(F.lit(1)).alias("n"))
+def _judge(scored: DataFrame, quantile: float, slack: float, share_slack: float) -> DataFrame:
+    """Thresholds from the held-out trusted documents: the quantiles of entropies and of shares of repeated words in steps of a
+    thousandth, over all of them."""
+    scored = scored.withColumn("sure", F.col("entropy") - slack / F.sqrt("n_symbols")).withColumn("repeats", F.when(F.col("entropy").isNotNull(), F.try_divide("n_repeated", "n_words")))
+    scored = scored.withColumn("sure_repeats", F.col("repeats") - share_slack / F.sqrt("n_words"))
 
     def cut(rows: DataFrame, keys: list[str]) -> DataFrame:
         upto = Window.partitionBy(*keys).orderBy("step")
         reached = rows.withColumn("upto", F.sum("n").over(upto)).withColumn("all", F.sum("n").over(Window.partitionBy(*keys)))
         return reached.filter(F.col("upto") >= quantile * F.col("all")).groupBy(*keys).agg((F.min("step") / 1000).alias("most"))
 
-    own = F.broadcast(cut(count, ["lang"]).select(F.col("lang").alias("of"), F.col("most").alias("own"), F.lit(1).alias("one")))
-    whole = F.broadcast(cut(count.groupBy("step").agg(F.sum("n").alias("n")).withColumn("one", F.lit(1)), ["one"]).select("one", F.col("most").alias("any")))
-    rows = scored.withColumn("one", F.lit(1)).join(whole, "one", "left").join(own.drop("one"), F.col("lang").eqNullSafe(F.col("of")), "left")
-    most = F.coalesce("own", "any")
+    rows = scored.withColumn("one", F.lit(1))
+    for name in ("sure", "sure_repeats"):
+        steps = scored.filter("role = 2 AND entropy IS NOT NULL").select("lang", F.ceil(F.col(name) * 1000).cast("long").alias("step"))
+        count = steps.groupBy("lang", "step").agg(F.count(F.lit(1)).alias("n"))
+        own = F.broadcast(cut(count, ["lang"]).select(F.col("lang").alias("of"), F.col("most").alias("own")))
+        whole = F.broadcast(cut(count.groupBy("step").agg(F.sum("n").alias("n")).withColumn("one", F.lit(1)), ["one"]).select("one", F.col("most").alias("any")))
+        rows = rows.join(whole, "one", "left").join(own, F.col("lang").eqNullSafe(F.col("of")), "left")
+        rows = rows.withColumn(f"most_{name}", F.coalesce("own", "any")).drop("own", "any", "of")
+    most, share = F.col("most_sure"), F.when(F.col("most_sure_repeats").isNotNull(), F.greatest("most_sure_repeats", F.lit(0.0)))
+    within = (F.col("sure") <= F.coalesce(most, F.col("sure"))) & (F.col("sure_repeats") <= F.coalesce(share, F.col("sure_repeats")))
     return rows.select(
         "doc_id", "lang", (F.col("role") > 0).alias("trusted"), "n_symbols", F.exp("entropy").alias("perplexity"), F.exp(most).alias("threshold"),
-        (F.col("entropy").isNotNull() & (F.col("sure") <= F.coalesce(most, F.col("sure")))).alias("kept"),
+        "repeats", share.alias("most_repeats"), (F.col("entropy").isNotNull() & within).alias("kept"),
     )

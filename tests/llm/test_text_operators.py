@@ -232,6 +232,33 @@ def test_quality_of_test_tables(spark):
     assert np.mean(good) > 0.97 and np.mean(bad) < 0.2
 
 
+def test_repeated_words():
+    n, again = quality.repeated(["the the  The", "", "a b a b a b", "a b c a d", "the", "the x " + "y z " * 2])
+    assert n.tolist() == [3, 0, 6, 5, 1, 6] and again.tolist() == [1, 0, 3, 0, 0, 1]
+
+
+def junk(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    if any(len(list(g)) >= 5 for _, g in itertools.groupby(words)):
+        return "repeated"
+    if re.search(r"%%%|&&&|\*\*\*|###|\$\$\$", text):
+        return "symbols"
+    return "table" if text.count(" | ") > 5 else "capitals" if text.count("!!") > 3 else "other"
+
+
+def test_quality_finds_each_kind_of_junk(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    told = labels.groupBy(F.col("doc_id").alias("k")).agg(F.max("quality").alias("quality"))
+    text = docs.select(F.col("doc_id").alias("j"), "text")
+    rows = quality.classify(docs, labels).join(told, F.col("doc_id") == F.col("k")).join(text, F.col("doc_id") == F.col("j")).select("text", "quality", "kept", "trusted").collect()
+    kept = {}
+    for r in rows:
+        kept.setdefault(junk(r["text"] or "") if r["quality"] == 0 else "trusted" if r["trusted"] else "toxic", []).append(r["kept"])
+    print({k: (sum(v), len(v)) for k, v in kept.items()})
+    assert all(len(kept[k]) > 100 and np.mean(kept[k]) < 0.05 for k in ("repeated", "symbols", "table", "capitals")) and np.mean(kept["trusted"]) > 0.99
+
+
 def test_quality_edges(spark, edges, empty):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     rows = {r["doc_id"]: r for r in quality.classify(edges, none).collect()}
