@@ -8,20 +8,24 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import langid
-from millrace.llm.common import written
+from millrace.llm.common import SPACE, written
 from millrace.llm.exact_dedup import exact_dedup
 from millrace.llm.mixing import mix
 from millrace.llm.sentencepiece_codec import encode
-from millrace.llm.simhash import near_dedup
+from millrace.llm.simhash import near_keepers
 
 
-def _keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``docs`` with one of ``ids`` (column ``keep_key``), nulls included; one row of each id."""
-    return docs.join(ids.distinct(), docs["doc_id"].eqNullSafe(F.col("keep_key")), "left_semi").dropDuplicates(["doc_id"])
+def _keep(docs: DataFrame, key: Column, keepers: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each of ``keepers`` (``keep_id, keep_key``, distinct), nulls included: of rows with its id and ``key`` the one
+    with the longest text, then the smallest."""
+    keyed = docs.withColumn("__key", key)
+    found = keyed.join(keepers, keyed["doc_id"].eqNullSafe(F.col("keep_id")) & (F.col("__key") == F.col("keep_key")), "left_semi")
+    order = F.struct((-F.length(F.coalesce("text", F.lit("")))).alias("__neg"), *docs.columns)
+    return found.groupBy("doc_id", "__key").agg(F.min(order).alias("__row")).select(*(F.col(f"__row.{c}").alias(c) for c in docs.columns))
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,12 +36,13 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts stays."""
-    return _keep(docs, exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("keep_key")))
+    kept = exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("keep_id"), F.col("text_sha256").alias("keep_key")).distinct()
+    return _keep(docs, F.sha2(F.regexp_replace(F.coalesce("text", F.lit("")), SPACE, "").cast("binary"), 256), kept)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the smallest id, of each near-duplicate component stays."""
-    return _keep(docs, near_dedup(docs).select(F.col("component_id").alias("keep_key")))
+    return _keep(docs, F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256), near_keepers(docs))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

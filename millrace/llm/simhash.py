@@ -38,16 +38,17 @@ def fingerprint(raw: bytes, shingle: int = 3) -> int:
     return int(np.packbits(2 * ones > total, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, fp`` (the fingerprint as a signed long) of whole texts; null text counts as empty."""
+def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text", text_key: bool = False) -> DataFrame:
+    """``doc_id, fp`` (the fingerprint as a signed long) of whole texts; null text counts as empty. With ``text_key`` the SHA-256 of the text too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.fromiter((fingerprint((t.as_py() or "").encode(), shingle) for t in b.column(1)), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64)), *b.columns[2:]], ["doc_id", "fp", *["text_key"] * text_key])
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, fp long")
+    more = [F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256).alias("text_key")] * text_key
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *more)
+    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, fp long{', text_key string' * text_key}")
 
 
 # ---- the tree -----------------------------------------------------------------------------------
@@ -189,10 +190,24 @@ def near_dedup(docs: DataFrame, bits: int = 3, shingle: int = 3, id_col: str = "
     unless all its ids are null. Repeated rows share a fingerprint and so a component. An empty table gives an empty result. Other
     columns are ignored.
     """
-    fps = checkpointed(fingerprints(docs, shingle, id_col, text_col))
+    rows = _members(fingerprints(docs, shingle, id_col, text_col), bits, **tree)
+    return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def near_keepers(docs: DataFrame, bits: int = 3, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text", **tree) -> DataFrame:
+    """One row ``keep_id, keep_key`` (SHA-256 of the text, null as empty) for each component: of the texts with its smallest id that with
+    the smallest key. Components of the same smallest id, or of null ids only, each have their row."""
+    rows = _members(fingerprints(docs, shingle, id_col, text_col, True), bits, **tree)
+    first = rows.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min(F.struct("text_key", "doc_id")).alias("first"))
+    return first.select(F.col("first.doc_id").alias("keep_id"), F.col("first.text_key").alias("keep_key"))
+
+
+def _members(fps: DataFrame, bits: int, **tree) -> DataFrame:
+    """Rows of ``fps`` with the ``root`` (a fingerprint) of their component and its smallest id."""
+    fps = checkpointed(fps)
     nodes = checkpointed(fps.groupBy("fp").agg(F.min("doc_id").alias("first")))
     linked = components(edges(nodes, nodes.count(), bits, **tree))
     rooted = nodes.join(linked, F.col("fp") == F.col("u"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    member = rooted.join(least, "root").select(F.col("fp").alias("own"), "component_id")
-    return fps.join(member, F.col("fp") == F.col("own")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    member = rooted.join(least, "root").select(F.col("fp").alias("own"), "root", "component_id")
+    return fps.join(member, F.col("fp") == F.col("own"))

@@ -353,3 +353,31 @@ def test_pipeline_stages(spark, tmp_path):
             assert all(r["ids"] == sp.encode(text[r["doc_id"]]) for r in out.collect()) and sum(ids.values()) == before.count()
         before = out
     assert pipe.run(spark, sf).count() > 0
+
+
+ROWS = [
+    (3, "one two three four five"), (5, "one two three four  five"), (5, "a wholly different text of its own"), (5, "a wholly different text of its own"), (None, "null ids keep this text"),
+    (None, "and this other one as well"), (None, "and this other one as well"), (None, None), (7, ""), (8, "same letters"), (8, "sameletters"), (None, "one two three four five"),
+]
+
+
+@pytest.fixture(scope="session")
+def repeats(spark):
+    return spark.createDataFrame([(i, t, "en", "ab"[n % 2], 0) for n, (i, t) in enumerate(ROWS)], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+
+
+def test_dedup_stages_decide_by_row(spark, repeats):
+    import corpus_pipeline as pipe
+    from test_dedup import closure, slow_fingerprint
+
+    groups = {}
+    for i, t in ROWS:
+        groups.setdefault(re.sub(r"\s", "", t or ""), []).append((-len(t or ""), i is None, i or 0, t or ""))
+    exact = Counter((None if g[1] else g[2], g[3]) for g in map(min, groups.values()))
+    assert Counter((r["doc_id"], r["text"] or "") for r in pipe.exact(spark, repeats, "").collect()) == exact
+    fp = [slow_fingerprint(t or "") for _, t in ROWS]
+    root = closure(fp, [(a, b) for a in range(len(fp)) for b in range(a) if (fp[a] ^ fp[b]).bit_count() <= 3])
+    least = {r: min((ROWS[k][0] is None, ROWS[k][0] or 0) for k in range(len(ROWS)) if root[k] == r) for r in root}
+    got = [(r["doc_id"], r["text"] or "") for r in pipe.near(spark, repeats, "").collect()]
+    home = {(i, t or ""): r for (i, t), r in zip(ROWS, root, strict=True)}
+    assert sorted(home[x] for x in got) == sorted(least) and all((i is None, i or 0) == least[home[i, t]] for i, t in got)
