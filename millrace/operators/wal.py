@@ -40,6 +40,17 @@ def assemble(wal: DataFrame, segment: int = 1 << 20) -> DataFrame:
     return done.withColumn("lsn", F.col("__end.lsn")).withColumn("commit_ts", F.col("__end.commit_ts")).drop("__b", "__c", "__cb", "__cc", "__seg", "__end", "seg")
 
 
+def still_open(wal: DataFrame) -> DataFrame:
+    """Messages that later ones can still need: all after the last commit, the last begin, and of each relation the version of then."""
+    ends = wal.agg(F.max(F.when(F.col("kind") == "C", F.col("pos"))).alias("c"), F.max(F.when(F.col("kind") == "B", F.col("pos"))).alias("b")).first()
+    done = F.lit(ends["c"]).cast("long")
+    late = done.isNull() | (F.col("pos") > done)
+    version = F.max(F.when(~late, F.col("pos"))).over(Window.partitionBy("rel_id"))
+    relations = wal.filter("kind = 'R'").withColumn("__version", version).filter(late | (F.col("pos") == F.col("__version"))).drop("__version").dropDuplicates(["rel_id", "pos"])
+    rest = wal.filter((F.col("kind").isin("I", "U", "D") & late) | ((F.col("kind") == "B") & (late | F.col("pos").eqNullSafe(F.lit(ends["b"]).cast("long")))))
+    return relations.unionByName(rest)
+
+
 def with_relation(rows: DataFrame, wal: DataFrame) -> DataFrame:
     """Each row message with the latest earlier relation of its id (``rel``); none is an error.
 

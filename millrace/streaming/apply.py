@@ -32,14 +32,28 @@ def capture(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataF
 
 
 def start_capture(messages: DataFrame, relations: DataFrame, out: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Write the events of each batch of messages as JSON documents, by key in order. A file holds whole transactions; ``relations`` are
-    those known before, newer ones come with the messages."""
+    """Write the events of each batch of messages as JSON documents, by key in order. ``relations`` are those known before, newer ones
+    come with the messages. Batches follow each other in position. A transaction is written with the batch of its commit: what is open at
+    the end of a batch, and relations, wait in a table beside the checkpoint, by batch id."""
+    waiting = f"{checkpoint.rstrip('/')}_open"
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        known = relations.unionByName(batch, allowMissingColumns=True).filter("kind = 'R'").dropDuplicates(["rel_id", "pos"])
-        events = wal.decode(wal.with_relation(wal.assemble(batch), known))
-        keyed = events.select(envelope.message_key(F.col("table"), F.col("pk")).alias("key"), F.to_json(F.struct(*envelope.FIELDS)).alias("value"), "seq")
-        keyed.repartition("key").sortWithinPartitions("key", "seq").write.mode("overwrite").json(f"{out}/batch={batch_id}")
+        spark = batch.sparkSession
+        jvm = spark._jvm.org.apache.hadoop.fs
+        folder = jvm.Path(waiting)
+        fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        earlier = sorted(i for i in (int(x.getPath().getName()) for x in fs.listStatus(folder)) if i < batch_id) if fs.exists(folder) else []
+        log = (batch.unionByName(spark.read.schema(wal.MESSAGE).parquet(f"{waiting}/{earlier[-1]}")) if earlier else batch).persist()
+        try:
+            known = relations.unionByName(log, allowMissingColumns=True).filter("kind = 'R'").dropDuplicates(["rel_id", "pos"])
+            events = wal.decode(wal.with_relation(wal.assemble(log), known))
+            keyed = events.select(envelope.message_key(F.col("table"), F.col("pk")).alias("key"), F.to_json(F.struct(*envelope.FIELDS)).alias("value"), "seq")
+            keyed.repartition("key").sortWithinPartitions("key", "seq").write.mode("overwrite").json(f"{out}/batch={batch_id}")
+            wal.still_open(log).write.mode("overwrite").parquet(f"{waiting}/{batch_id}")
+        finally:
+            log.unpersist()
+        for i in earlier[:-1]:  # only the last batch can be run again
+            fs.delete(jvm.Path(f"{waiting}/{i}"), True)
 
     return _start(messages, write, checkpoint, once)
 

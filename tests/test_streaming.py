@@ -79,6 +79,26 @@ def test_stream_of_files_equals_the_batch(spark, tmp_path):
     assert json.loads(json.dumps(KeyedTable(spark, str(tmp_path / "tables/public.events"), ["event_id"]).versions())) == [0]
 
 
+def test_transactions_and_relations_cross_files(spark, tmp_path):
+    from millrace.operators import wal as log
+    from millrace.streaming.apply import capture
+
+    wal = changelog.wal_msgs(spark, "/root/testdata/sf0.001").filter("pos < 3000").persist()
+    begin = wal.filter("kind = 'B' AND pos > 900").agg(F.min("pos")).first()[0]
+    end = wal.filter(f"kind = 'C' AND pos > {begin}").agg(F.min("pos")).first()[0]
+    rows = sorted(r[0] for r in wal.filter(f"kind IN ('I', 'U', 'D') AND pos BETWEEN {begin} AND {end}").select("pos").collect())
+    assert len(rows) > 2
+    cuts = [-(10**9), rows[0], rows[1], end, 10**9]  # the first file ends after a row, the second holds one row, the third has the commit
+    (tmp_path / "wal").mkdir()
+    for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+        (tmp_path / f"wal/{i}.json").write_text("\n".join(wal.filter((F.col("pos") > a) & (F.col("pos") <= b)).toJSON().collect()))
+    for _ in range(2):  # the second start finds nothing new
+        start_capture(capture(spark, str(tmp_path / "wal")), wal.filter("kind = 'R'").limit(0), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
+    got = spark.read.schema("key string, value string, seq long").option("recursiveFileLookup", "true").json(str(tmp_path / "out"))
+    want = [r[0] for r in log.events(wal).select("seq").collect()]
+    assert sorted(r[0] for r in got.select("seq").collect()) == sorted(want) and {2 * p for p in rows} & {s - s % 2 for s in want}
+
+
 def test_poison_stops_or_is_dropped(spark, tmp_path):
     d = tmp_path / "in"
     d.mkdir()
