@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.llm import langid
-from millrace.llm.common import SPACE, written
+from millrace.llm.common import SPACE, WORD, written
 from millrace.llm.exact_dedup import exact_dedup
 from millrace.llm.mixing import mix
 from millrace.llm.sentencepiece_codec import encode
@@ -47,8 +47,16 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: not at all, or one to three times."""
-    taken = mix(docs).filter("copies > 0").select(F.col("doc_id").alias("take_key"), "copies")
-    rows = docs.join(taken, docs["doc_id"].eqNullSafe(F.col("take_key")))
+    alike = ["__id", "__source", "__size"]
+
+    def numbered(rows: DataFrame, *order: Column) -> DataFrame:
+        """Rows of the same id, source and size, which the mix doesn't tell apart, numbered from 1."""
+        keyed = rows.withColumn("__id", F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).withColumn("__source", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
+        return keyed.withColumn("__number", F.row_number().over(Window.partitionBy(*alike).orderBy(*order)))
+
+    mine = numbered(docs.withColumn("__size", F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")), F.xxhash64("text"), *(F.col(c) for c in docs.columns))
+    taken = numbered(mix(docs).withColumnRenamed("size", "__size"), F.col("copies")).filter("copies > 0").select(*alike, "__number", "copies")
+    rows = mine.join(taken, [*alike, "__number"])
     return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
 
 

@@ -381,3 +381,18 @@ def test_dedup_stages_decide_by_row(spark, repeats):
     got = [(r["doc_id"], r["text"] or "") for r in pipe.near(spark, repeats, "").collect()]
     home = {(i, t or ""): r for (i, t), r in zip(ROWS, root, strict=True)}
     assert sorted(home[x] for x in got) == sorted(least) and all((i is None, i or 0) == least[home[i, t]] for i, t in got)
+
+
+def test_mixing_takes_each_row_as_often_as_the_mix_says(spark, repeats, docs):
+    import corpus_pipeline as pipe
+
+    many = repeats.unionByName(docs.select("doc_id", "text", "lang", "source", "n_chars").limit(60)).unionByName(docs.limit(90).select(F.lit(None).cast("long").alias("doc_id"), "text", "lang", "source", "n_chars"))
+    many = many.localCheckpoint()
+    size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    want = Counter()
+    for r in mixing.mix(many).collect():
+        want[r["doc_id"], r["source"], r["size"]] += r["copies"]
+    out = pipe.mixing(spark, many, "").collect()
+    assert Counter((r["doc_id"], r["source"], size(r["text"])) for r in out) == +want
+    own, got = Counter(map(tuple, many.collect())), Counter(map(tuple, out))
+    assert all(n <= 3 * own[r] for r, n in got.items())
