@@ -6,7 +6,7 @@ relation id, and for rows the ``new`` and ``old`` tuples: arrays of (kind, data)
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from millrace.functions.types import type_name
@@ -15,7 +15,38 @@ TUPLE = "array<struct<kind: string, data: string>>"
 MESSAGE = f"pos bigint, kind string, rel_id int, `table` string, columns array<struct<name: string, oid: int, is_key: boolean>>, lsn decimal(20,0), commit_ts timestamp, new {TUPLE}, old {TUPLE}"
 
 
-def assemble(wal: DataFrame, segment: int = 1 << 20) -> DataFrame:
+#: Positions of a segment: a segment has as many rows at most. And segments that are carried over in one window.
+SEGMENT, FAN = 1 << 16, 1 << 12
+
+
+def _so_far(*partition: str, order: str) -> WindowSpec:
+    return Window.partitionBy(*partition).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+
+
+def _from_here(*partition: str, order: str) -> WindowSpec:
+    """From a row to the end, as a running frame over the reverse order: a frame that ends at the last row would be summed anew for each row."""
+    return Window.partitionBy(*partition).orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, 0)
+
+
+def _carried(summary: DataFrame, fan: int) -> DataFrame:
+    """For each segment (seg, b, c) the last ``b`` of the segments before it and the first ``c`` of those behind it. Windows run over ``fan``
+    segments at most, and one over a row for each ``fan`` segments."""
+    s = summary.withColumn("up", F.floor(F.col("seg") / fan))
+    near = s.select(
+        "seg", "up",
+        F.last("b", True).over(Window.partitionBy("up").orderBy("seg").rowsBetween(Window.unboundedPreceding, -1)).alias("b1"),
+        F.last("c", True).over(Window.partitionBy("up").orderBy(F.desc("seg")).rowsBetween(Window.unboundedPreceding, -1)).alias("c1"),
+    )
+    far = s.groupBy("up").agg(F.max("b").alias("b"), F.min("c").alias("c")).select(
+        F.col("up").alias("far"),
+        F.last("b", True).over(Window.orderBy("up").rowsBetween(Window.unboundedPreceding, -1)).alias("b2"),
+        F.last("c", True).over(Window.orderBy(F.desc("up")).rowsBetween(Window.unboundedPreceding, -1)).alias("c2"),
+    )
+    joined = near.join(far, F.col("up") == F.col("far"))
+    return joined.select(F.col("seg").alias("__seg"), F.coalesce("b1", "b2").alias("__cb"), F.coalesce("c1", "c2").alias("__cc"))
+
+
+def assemble(wal: DataFrame, segment: int = SEGMENT, fan: int = FAN) -> DataFrame:
     """Row messages of committed transactions with ``txn`` (position of the begin), ``lsn`` and ``commit_ts`` of the commit.
 
     A row is committed if the next begin or commit behind it is a commit. The log is scanned in segments of positions: each on its own,
@@ -24,17 +55,9 @@ def assemble(wal: DataFrame, segment: int = 1 << 20) -> DataFrame:
     control = F.when(F.col("kind").isin("B", "C"), F.struct("pos", "kind", "lsn", "commit_ts"))
     begin = F.when(F.col("kind") == "B", F.col("pos"))
     m = wal.withColumn("seg", F.floor(F.col("pos") / segment))
-    before = Window.partitionBy("seg").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    after = Window.partitionBy("seg").orderBy("pos").rowsBetween(0, Window.unboundedFollowing)
-    here = m.withColumn("__b", F.last(begin, True).over(before)).withColumn("__c", F.first(control, True).over(after)).filter(F.col("kind").isin("I", "U", "D"))
+    here = m.withColumn("__b", F.last(begin, True).over(_so_far("seg", order="pos"))).withColumn("__c", F.last(control, True).over(_from_here("seg", order="pos"))).filter(F.col("kind").isin("I", "U", "D"))
     summary = m.groupBy("seg").agg(F.max(begin).alias("b"), F.min(control).alias("c"))
-    order = Window.orderBy("seg")  # one row for each segment
-    carried = summary.select(
-        F.col("seg").alias("__seg"),
-        F.last("b", True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("__cb"),
-        F.first("c", True).over(order.rowsBetween(1, Window.unboundedFollowing)).alias("__cc"),
-    )
-    full = here.join(carried, F.col("seg") == F.col("__seg"))
+    full = here.join(_carried(summary, fan), F.col("seg") == F.col("__seg"))
     full = full.withColumn("txn", F.coalesce("__b", "__cb")).withColumn("__end", F.coalesce("__c", "__cc"))
     done = full.filter((F.col("__end.kind") == "C") & F.col("txn").isNotNull())
     return done.withColumn("lsn", F.col("__end.lsn")).withColumn("commit_ts", F.col("__end.commit_ts")).drop("__b", "__c", "__cb", "__cc", "__seg", "__end", "seg")
@@ -51,19 +74,24 @@ def still_open(wal: DataFrame) -> DataFrame:
     return relations.unionByName(rest)
 
 
-def with_relation(rows: DataFrame, wal: DataFrame) -> DataFrame:
-    """Each row message with the latest earlier relation of its id (``rel``); none is an error.
+def with_relation(rows: DataFrame, wal: DataFrame, segment: int = SEGMENT) -> DataFrame:
+    """Each row message with the latest earlier relation of its id (``rel``) and its number (``version``); none is an error.
 
-    Relations are schema versions, few against rows: they become intervals of positions and are joined by id.
+    A running last over relations and rows together, by relation id and segment; what stands at a segment's border comes from one row for
+    each id and segment. So a busy table is dealt over tasks, and many versions of a relation cost no more than few.
     """
-    w = Window.partitionBy("rel_id").orderBy("pos")
-    rel = wal.filter("kind = 'R'").select(
-        F.col("rel_id").alias("__rel"), F.col("pos").alias("__from"), F.lead("pos").over(w).alias("__to"), F.row_number().over(w).alias("__version"), F.struct("table", "columns").alias("rel")
-    )
-    on = (F.col("rel_id") == F.col("__rel")) & (F.col("pos") > F.col("__from")) & (F.col("__to").isNull() | (F.col("pos") < F.col("__to")))
-    out = rows.drop("table", "columns").join(rel, on, "left")
-    lost = F.raise_error(F.concat(F.lit("unknown relation id "), F.col("rel_id").cast("string")))
-    return out.withColumn("rel", F.when(F.col("__from").isNotNull(), F.col("rel")).otherwise(lost)).withColumn("version", F.col("__version")).drop("__rel", "__from", "__to", "__version")
+    known = wal.filter("kind = 'R'").select("rel_id", "pos", F.struct("table", "columns", F.row_number().over(Window.partitionBy("rel_id").orderBy("pos")).alias("version")).alias("__rel"))
+    both = rows.drop("table", "columns").withColumn("__row", F.lit(True)).unionByName(known, allowMissingColumns=True).withColumn("__seg", F.floor(F.col("pos") / segment))
+    seen = both.withColumn("__here", F.last("__rel", True).over(_so_far("rel_id", "__seg", order="pos")))
+    ends = both.groupBy("rel_id", "__seg").agg(F.max(F.when(F.col("__rel").isNotNull(), F.struct("pos", "__rel"))).getField("__rel").alias("__last"))
+    before = ends.select(
+        F.col("rel_id").alias("__id"), F.col("__seg").alias("__s"), F.last("__last", True).over(Window.partitionBy("rel_id").orderBy("__seg").rowsBetween(Window.unboundedPreceding, -1)).alias("__before")
+    )
+    out = seen.filter("__row").join(before, F.col("rel_id").eqNullSafe(F.col("__id")) & (F.col("__seg") == F.col("__s")), "left")
+    lost = F.raise_error(F.concat(F.lit("unknown relation id "), F.coalesce(F.col("rel_id").cast("string"), F.lit("null"))))
+    rel = F.coalesce("__here", "__before")
+    found = out.withColumn("rel", F.when(rel.isNotNull(), rel).otherwise(lost))
+    return found.withColumn("version", F.col("rel.version")).drop("__row", "__rel", "__here", "__last", "__before", "__id", "__s", "__seg")
 
 
 def _check(bad: Column, text: str, value: Column) -> Column:
@@ -119,7 +147,6 @@ def decode(rows: DataFrame, split_keys: bool = True) -> DataFrame:
 
 
 
-
-def events(wal: DataFrame, segment: int = 1 << 20) -> DataFrame:
+def events(wal: DataFrame, segment: int = SEGMENT) -> DataFrame:
     """All change events of committed transactions."""
-    return decode(with_relation(assemble(wal, segment), wal))
+    return decode(with_relation(assemble(wal, segment), wal, segment))

@@ -160,15 +160,15 @@ def wal_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def txn_assemble(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return wal.assemble(log.wal_msgs(spark, sf_dir), 1000).select("txn", "pos", F.element_at("new", 1)["data"].cast("long").alias("event_id"))
+    return wal.assemble(log.wal_msgs(spark, sf_dir)).select("txn", "pos", F.element_at("new", 1)["data"].cast("long").alias("event_id"))
 
 
 def txn_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return wal.assemble(log.wal_msgs(spark, sf_dir), 1000).groupBy("txn").agg(F.count(F.lit(1)).alias("n"))
+    return wal.assemble(log.wal_msgs(spark, sf_dir)).groupBy("txn").agg(F.count(F.lit(1)).alias("n"))
 
 
 def txn_stamp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return wal.assemble(log.wal_msgs(spark, sf_dir), 1000).select("pos", F.col("lsn").cast("long").alias("lsn"), F.col("commit_ts").cast("timestamp_ntz").alias("commit_ts"))
+    return wal.assemble(log.wal_msgs(spark, sf_dir)).select("pos", F.col("lsn").cast("long").alias("lsn"), F.col("commit_ts").cast("timestamp_ntz").alias("commit_ts"))
 
 
 def asof_schema(spark: SparkSession, sf_dir: str) -> DataFrame:

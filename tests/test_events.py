@@ -1,5 +1,7 @@
 """Envelope, types, log decoder."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -68,11 +70,34 @@ def test_transactions_over_segment_borders(spark):
     kinds = "BII" + "BIC" + "IB" + "BIIIIIC" + "BI"
     m = spark.createDataFrame([(i, k, i, "2024-01-01") for i, k in enumerate(kinds)], "pos long, kind string, lsn int, ts string").select("pos", "kind", F.col("lsn").cast("decimal(20,0)").alias("lsn"), F.col("ts").cast("timestamp").alias("commit_ts"))
     want = [(4, 3, 5)] + [(i, 8, 14) for i in range(9, 14)]
-    for segment in (1, 2, 3, 100):
-        got = sorted((r["pos"], r["txn"], int(r["lsn"])) for r in wal.assemble(m, segment).collect())
+    for segment, fan in ((1, 2), (2, 3), (3, 1), (100, 8), (wal.SEGMENT, wal.FAN)):
+        got = sorted((r["pos"], r["txn"], int(r["lsn"])) for r in wal.assemble(m, segment, fan).collect())
+        assert got == want, segment
+
+
+def test_relations_over_segment_borders(spark):
+    rng = random.Random(4)
+    rows, want, now = [], {}, {}
+    for pos in range(300):
+        rel = rng.randint(1, 3)
+        if rel not in now or rng.random() < 0.1:
+            now[rel] = now.get(rel, 0) + 1
+            rows.append((pos, "R", rel, f"t{rel}.{now[rel]}"))
+        else:
+            rows.append((pos, "I", rel, None))
+            want[pos] = (now[rel], f"t{rel}.{now[rel]}")
+    m = spark.createDataFrame(rows, "pos long, kind string, rel_id int, `table` string").withColumn("columns", F.lit(None).cast("array<struct<name: string, oid: int, is_key: boolean>>"))
+    for segment in (1, 7, 64, wal.SEGMENT):
+        got = {r["pos"]: (r["version"], r["rel"]["table"]) for r in wal.with_relation(m.filter("kind = 'I'"), m, segment).collect()}
         assert got == want, segment
 
 
+def test_decoder_scans_a_segment_once(spark):
+    """Both look-back and look-ahead are running frames: none reaches to the end of its partition."""
+    plan = wal.assemble(spark.createDataFrame([], wal.MESSAGE))._jdf.queryExecution().analyzed().toString()
+    assert "unboundedfollowing" not in plan and "currentrow" in plan
+
+
 def test_envelope_round_trip_and_rejection(spark):
     e = spark.createDataFrame([("u", "public.t", {"id": "9007199254740993"}, {"id": "9007199254740993", "x": None}, ["big"], {"id": "bigint"})], "op string, `table` string, pk map<string,string>, after map<string,string>, unchanged array<string>, types map<string,string>")
     e = e.withColumn("lsn", F.lit("18446744073709551615").cast("decimal(20,0)")).withColumn("commit_ts", F.lit("2026-09-08T18:04:11Z").cast("timestamp"))
