@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 
-from millrace.llm.common import block_count, mix64
+from millrace.llm.common import layout, mix64
 
 LAST = (1 << 63) - 1
 BUFFER = 1 << 17
@@ -66,12 +66,13 @@ def block_table(table: pa.Table) -> pa.Table:
     return pa.table({"doc_id": pa.array(ids, mask=ids == LAST), "text": pa.array([t for _, _, raws in found for t in raws], pa.large_binary())})
 
 
-def by_block(docs: DataFrame, block_bytes: int, id_col: str, text_col: str) -> DataFrame:
-    """Pages of blocks; null text becomes empty. The number of blocks follows the bytes of all texts."""
+def by_block(docs: DataFrame, block_bytes: int, id_col: str, text_col: str) -> tuple[DataFrame, int, int, int]:
+    """Pages of blocks, the number of blocks, the bytes of all texts, and the number of ranges that blocks talk to. Null text becomes empty.
+    The block depends on the id and on the text, so that different texts of one id, or without id, spread."""
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    n = block_count(docs.sparkSession, size, block_bytes)
-    rows = docs.select(F.pmod(F.xxhash64(id_col), F.lit(n)).cast("int").alias("block"), F.col(id_col).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(to_pages, PAGES)
+    n, ranges = layout(docs.sparkSession, size, block_bytes)
+    rows = docs.select(F.pmod(F.xxhash64(id_col, text_col), F.lit(n)).cast("int").alias("block"), F.col(id_col).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("lang"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(to_pages, PAGES), n, size, ranges
 
 
 def gathered(df: DataFrame, key: str, n: int, *more: str) -> GroupedData:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
+from hashlib import blake2b
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -16,16 +18,22 @@ SPACE = r"[\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where that is unset (single-machine tests) a fresh temporary folder is made.
+    Only where that is unset and driver and executors are one process (tests) a fresh temporary folder is made; elsewhere that is an error.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="millrace-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if sc.master != "local" and not sc.master.startswith("local["):
+                raise ValueError("spark.checkpoint.dir is not set: it names a folder that driver and executors share")
+            folder = tempfile.mkdtemp(prefix="millrace-")
+        sc.setCheckpointDir(folder)
     return sc.getCheckpointDir()
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage of a narrow table through a reliable checkpoint in the shared folder."""
+    """Cut the lineage of a narrow table through a reliable checkpoint in the shared folder. ``spark.cleaner.referenceTracking.cleanCheckpoints``
+    lets Spark remove it when the frame is no longer in use."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
@@ -37,9 +45,27 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def block_count(spark: SparkSession, n_bytes: int, block_bytes: int) -> int:
-    """Number of hash blocks so that a block holds about ``block_bytes`` of text, at least one for each shuffle partition."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(n_bytes) // block_bytes), 1)
+def discard(df: DataFrame) -> None:
+    """Remove the files of a ``written`` table that nothing will read again."""
+    spark = df.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Bytes of text in the largest block. An executor's memory for a task is to be some twenty times as much.
+LARGEST = 32 << 20
+
+
+def layout(spark: SparkSession, n_bytes: int, block_bytes: int, largest: int = LARGEST) -> tuple[int, int]:
+    """Numbers of hash blocks and of ranges for so many bytes of text, each at least that of shuffle partitions.
+
+    A block holds ``block_bytes`` of text in small tables and then grows as the square root of the data, up to ``largest``; a range takes
+    what four blocks send. So messages (blocks times ranges at most) grow no faster than the data until blocks are ``largest``.
+    """
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = max(block_bytes, min(largest, math.isqrt(int(n_bytes) * block_bytes) >> 4))
+    return max(tasks, -(-int(n_bytes) // size), 1), max(tasks, -(-int(n_bytes) // (4 * size)), 1)
 
 
 # ---- vectorised hashing -------------------------------------------------------------------------
@@ -111,3 +137,10 @@ def word_bounds(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     edge[1:-1] = ~_IS_SPACE[raw]
     step = np.diff(edge)
     return np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+
+
+def digests(raw: bytes, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit halves of the BLAKE2b digest of each range of bytes."""
+    found = b"".join([blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(start.tolist(), end.tolist(), strict=True)])
+    both = np.frombuffer(found, np.uint64).reshape(-1, 2)
+    return np.ascontiguousarray(both[:, 0]), np.ascontiguousarray(both[:, 1])

@@ -20,37 +20,34 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.blocks import BUFFER, LAST, PAGES, pack, pack_sorted, pages, to_pages, unpack, unpack_sorted
-from millrace.llm.common import block_count, checkpointed, mix64
+from millrace.llm.blocks import BUFFER, LAST, PAGES, gathered, pack, pack_sorted, pages, to_pages, unpack, unpack_sorted
+from millrace.llm.common import checkpointed, layout, mix64
 
 BITS = 12
-BEGIN, END, GAP = 1, 2, 32
-CODE_POINTS = 0x110000
-_table: np.ndarray | None = None
-
-
-def symbols() -> np.ndarray:
-    """Symbol of each code point: itself below 2048, one of 2048 classes above; white space is one gap."""
-    global _table
-    if _table is None:
-        p = np.arange(CODE_POINTS)
-        _table = np.where(p < 2048, np.maximum(p, 3), 2048 + (mix64(p.astype(np.uint64)) & np.uint64(2047)).astype(np.int64)).astype(np.int64)
-        _table[[0x20, *range(0x09, 0x0E)]] = GAP
-    return _table
+#: Symbols: a code point below WIDE is one, any other is two, a lead and a trail. So each text has its own symbols, and each fits 12 bits.
+WIDE, LEAD, TRAIL, BEGIN, END, GAP = 1920, 1920, 1920 + 1088, 4032, 4033, 4034
+_SMALL = np.arange(WIDE)
+_SMALL[[0x20, *range(0x09, 0x0E)]] = GAP
 
 
 def grams(texts: list[str], order: int) -> tuple[np.ndarray, np.ndarray]:
     """n-grams that end at each symbol and at the end of each text, and the text they belong to; runs of white space are one gap."""
     pad = "\x00" * (order - 1)
-    whole = np.frombuffer("".join(f"{pad}{t}\x00" for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    point = np.frombuffer("".join(f"{pad}{t}\x00" for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
     sizes = np.array([len(t) for t in texts]) + order
     ends = np.cumsum(sizes)
-    s = symbols()[whole]
+    wide = point >= WIDE
+    s = np.where(wide, LEAD + (point >> 10), _SMALL[np.where(wide, 0, point)])
     s[np.concatenate([ends - sizes + i for i in range(order - 1)])] = BEGIN
     s[ends - 1] = END
+    text = np.repeat(np.arange(len(texts)), sizes)
+    if wide.any():
+        n = 1 + wide
+        second = (np.cumsum(n) - 1)[wide]
+        s, text = np.repeat(s, n), np.repeat(text, n)
+        s[second] = TRAIL + (point[wide] & 1023)
     keep = np.concatenate([[True], (s[1:] != GAP) | (s[:-1] != GAP)])
-    text = np.repeat(np.arange(len(texts)), sizes)[keep]
-    s = s[keep].astype(np.uint64)
+    s, text = s[keep].astype(np.uint64), text[keep]
     n = len(s) - order + 1
     code = np.zeros(n, np.uint64)
     for i in range(order):
@@ -59,6 +56,12 @@ def grams(texts: list[str], order: int) -> tuple[np.ndarray, np.ndarray]:
     return code[ok], text[:n][ok]
 
 
+def characters(code: np.ndarray) -> np.ndarray:
+    """Whether each n-gram is the last one of a character (or of the end of a text): it doesn't end between a lead and its trail."""
+    last = code & np.uint64((1 << BITS) - 1)
+    return (last < LEAD) | (last >= TRAIL)
+
+
 def repeated(texts: list[str], reach: int = 8) -> tuple[np.ndarray, np.ndarray]:
     """Words of each text, and how many of them repeat: the word before, or with it the two words a phrase of at most ``reach`` words back."""
     known: dict[bytes, int] = {}
@@ -118,8 +121,8 @@ def _shard_cuts(key: np.ndarray, shards: int) -> tuple[np.ndarray, list[tuple[in
 # ---- the model ----------------------------------------------------------------------------------
 
 
-def _discounts(level: DataFrame, k: int) -> DataFrame:
-    """One row: the three modified Kneser-Ney discounts of an order, from its counts of counts; 0.5 where counts are too few to tell."""
+def _discounts(level: DataFrame) -> Column:
+    """A scalar: the three modified Kneser-Ney discounts of an order, from its counts of counts; 0.5 where counts are too few to tell."""
     n = [F.sum((F.col("c") == i).cast("long")) for i in range(1, 5)]
     row = level.agg(*(x.alias(f"n{i}") for i, x in enumerate(n, 1)))
     y = F.try_divide(F.col("n1"), F.col("n1") + 2 * F.col("n2"))
@@ -128,7 +131,7 @@ def _discounts(level: DataFrame, k: int) -> DataFrame:
         d = F.lit(float(i)) - (i + 1) * y * F.try_divide(F.col(f"n{i + 1}"), F.col(f"n{i}"))
         return F.when((d > 0) & (d <= i), d).otherwise(F.lit(0.5)).alias(f"d{i}")
 
-    return row.select(F.lit(k).alias("k"), *(of(i) for i in (1, 2, 3)))
+    return row.select(F.struct(*(of(i) for i in (1, 2, 3)))).scalar()
 
 
 def probabilities(counts: DataFrame, order: int) -> DataFrame:
@@ -140,15 +143,14 @@ def probabilities(counts: DataFrame, order: int) -> DataFrame:
     for k in range(order - 1, 0, -1):
         suffix = F.col("g").bitwiseAND(F.lit((1 << BITS * k) - 1))
         levels[k] = levels[k + 1].groupBy(suffix.alias("g")).agg(F.sum((F.col("c") > 0).cast("long")).alias("c"))
-    kinds = levels[1].agg(F.count(F.lit(1)).cast("double").alias("v")).select(F.lit(1).alias("k"), "v")
+    kinds = levels[1].agg(F.count(F.lit(1)).cast("double")).scalar()
     lower = None
     for k in range(1, order + 1):
         by = Window.partitionBy("h")
-        d = F.when(F.col("c") == 0, 0.0).when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
+        d = F.when(F.col("c") == 0, 0.0).when(F.col("c") == 1, F.col("d.d1")).when(F.col("c") == 2, F.col("d.d2")).otherwise(F.col("d.d3"))
         rows = (
             levels[k]
-            .withColumn("k", F.lit(k))
-            .join(F.broadcast(_discounts(levels[k], k)), "k")
+            .withColumn("d", _discounts(levels[k]))
             .withColumn("h", F.shiftright("g", BITS))
             .withColumn("s", F.sum("c").over(by))
             .withColumn("held", F.sum(d).over(by))
@@ -156,7 +158,7 @@ def probabilities(counts: DataFrame, order: int) -> DataFrame:
             .withColumn("rest", F.when(F.col("s") > 0, F.col("held") / F.col("s")).otherwise(1.0))
         )
         if lower is None:
-            lower = rows.join(F.broadcast(kinds), "k").select("g", (F.col("top") + F.col("rest") / F.col("v")).alias("p"))
+            lower = rows.select("g", (F.col("top") + F.col("rest") / kinds).alias("p"))
         else:
             low = lower.select(F.col("g").alias("suffix"), F.col("p").alias("q"))
             joined = rows.withColumn("suffix", F.col("g").bitwiseAND(F.lit((1 << BITS * (k - 1)) - 1))).join(low, "suffix")
@@ -172,7 +174,8 @@ def classify(docs: DataFrame, labels: DataFrame, order: int = 5, quantile: float
 
     Trusted are documents that ``labels`` (doc_id, quality, toxic) has as quality 1 and never as toxic 1. Of these, ids that hash to 0
     modulo ``calibrate`` are not trained on: ``quantile`` of their perplexities is the threshold of their language, or of all
-    languages where a language has none. Perplexity is per symbol, the end of the text included. ``order`` is at most 5. The mean over
+    languages where a language has none. Perplexity is per character, the end of the text included. ``order`` counts symbols, at most 5: a
+    character from U+0780 on is two of them, so the model looks back less far there, and no two characters are ever alike to it. The mean over
     a short text says little, so ``slack / sqrt(n_symbols)`` is allowed on its logarithm, in calibration as in the decision.
     ``repeats`` is the share of words that repeat what stands just before (``repeated``); its threshold ``most_repeats`` is that quantile of
     the same documents, at least 0, with ``share_slack / sqrt(words)`` allowed. Both count lower-cased text.
@@ -183,15 +186,16 @@ def classify(docs: DataFrame, labels: DataFrame, order: int = 5, quantile: float
     """
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n_blocks = block_count(spark, total, block_bytes)
+    n_blocks, shards = layout(spark, total, block_bytes)
 
-    def block(c: str) -> Column:
-        return F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(n_blocks)).cast("int").alias("block")
+    def block(key: Column) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(n_blocks)).cast("int").alias("block")
 
-    paged = docs.select(block(id_col), F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInArrow(to_pages, PAGES)
+    # documents without an id are never trusted, so any block will do: their text deals them
+    dealt = F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text_col))
+    paged = docs.select(block(dealt), F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInArrow(to_pages, PAGES)
     good = labels.groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max(F.coalesce("toxic", F.lit(0))).alias("toxic"))
-    trusted = good.filter("quality = 1 AND toxic <> 1 AND doc_id IS NOT NULL").select(block("doc_id"), F.col("doc_id").cast("long"), (F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(calibrate)) == 0).alias("held"))
+    trusted = good.filter("quality = 1 AND toxic <> 1 AND doc_id IS NOT NULL").select(block(F.col("doc_id").cast("long")), F.col("doc_id").cast("long"), (F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(calibrate)) == 0).alias("held"))
 
     def known(right: pa.Table, held: bool) -> np.ndarray:
         return np.sort(right.filter(right["held"] if held else pc.invert(right["held"]))["doc_id"].to_numpy())
@@ -236,7 +240,7 @@ def classify(docs: DataFrame, labels: DataFrame, order: int = 5, quantile: float
         cols = [[] for _ in range(7)]
         for ids, langs, texts in _texts(left):
             code, text = grams(texts, order)
-            n = np.bincount(text, minlength=len(texts))
+            n = np.bincount(text[characters(code)], minlength=len(texts))
             total = np.bincount(text, p[np.searchsorted(g, code)], len(texts))
             words, again = repeated(texts)
             blank = np.array([not t.strip(" \t\n\r\x0b\x0c") for t in texts])
@@ -250,12 +254,12 @@ def classify(docs: DataFrame, labels: DataFrame, order: int = 5, quantile: float
         kinds = (pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
         return pa.table([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["doc_id", "lang", "role", "n_symbols", "entropy", "n_words", "n_repeated"])
 
-    messages = paged.groupBy("block").cogroup(trusted.groupBy("block")).applyInArrow(message, "shard int, block int, g binary, c binary")
-    counts = messages.groupBy("shard").applyInArrow(summed, "g long, c long").repartition(shards, "g")
+    messages = gathered(paged, "block", n_blocks).cogroup(gathered(trusted, "block", n_blocks)).applyInArrow(message, "shard int, block int, g binary, c binary")
+    counts = gathered(messages, "shard", shards).applyInArrow(summed, "g long, c long").repartition(shards, "g")
     sharded = probabilities(counts, order).mapInArrow(_with_shard(shards), "shard int, g long, p double")
-    answers = messages.groupBy("shard").cogroup(sharded.groupBy("shard")).applyInArrow(answer, "block int, shard int, g binary, p binary")
+    answers = gathered(messages, "shard", shards).cogroup(gathered(sharded, "shard", shards)).applyInArrow(answer, "block int, shard int, g binary, p binary")
     told = answers.select("block", "g", "p", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("boolean").alias("held")).unionByName(trusted.select("block", F.lit(None).cast("binary").alias("g"), F.lit(None).cast("binary").alias("p"), "doc_id", "held"))
-    scored = paged.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(score, "doc_id long, lang string, role int, n_symbols long, entropy double, n_words long, n_repeated long")
+    scored = gathered(paged, "block", n_blocks).cogroup(gathered(told, "block", n_blocks)).applyInArrow(score, "doc_id long, lang string, role int, n_symbols long, entropy double, n_words long, n_repeated long")
     return _judge(checkpointed(scored), quantile, slack, share_slack)
 
 
@@ -279,14 +283,13 @@ def _judge(scored: DataFrame, quantile: float, slack: float, share_slack: float)
         reached = rows.withColumn("upto", F.sum("n").over(upto)).withColumn("all", F.sum("n").over(Window.partitionBy(*keys)))
         return reached.filter(F.col("upto") >= quantile * F.col("all")).groupBy(*keys).agg((F.min("step") / 1000).alias("most"))
 
-    rows = scored.withColumn("one", F.lit(1))
+    rows = scored
     for name in ("sure", "sure_repeats"):
         steps = scored.filter("role = 2 AND entropy IS NOT NULL").select("lang", F.ceil(F.col(name) * 1000).cast("long").alias("step"))
         count = steps.groupBy("lang", "step").agg(F.count(F.lit(1)).alias("n"))
         own = F.broadcast(cut(count, ["lang"]).select(F.col("lang").alias("of"), F.col("most").alias("own")))
-        whole = F.broadcast(cut(count.groupBy("step").agg(F.sum("n").alias("n")).withColumn("one", F.lit(1)), ["one"]).select("one", F.col("most").alias("any")))
-        rows = rows.join(whole, "one", "left").join(own, F.col("lang").eqNullSafe(F.col("of")), "left")
-        rows = rows.withColumn(f"most_{name}", F.coalesce("own", "any")).drop("own", "any", "of")
+        whole = cut(count.groupBy("step").agg(F.sum("n").alias("n")).withColumn("one", F.lit(1)), ["one"]).select("most").scalar()
+        rows = rows.join(own, F.col("lang").eqNullSafe(F.col("of")), "left").withColumn(f"most_{name}", F.coalesce("own", whole)).drop("own", "of")
     most, share = F.col("most_sure"), F.when(F.col("most_sure_repeats").isNotNull(), F.greatest("most_sure_repeats", F.lit(0.0)))
     within = (F.col("sure") <= F.coalesce(most, F.col("sure"))) & (F.col("sure_repeats") <= F.coalesce(share, F.col("sure_repeats")))
     return rows.select(

@@ -206,22 +206,45 @@ def slow_model(train, seen, order):
     return p
 
 
+SCRIPTS = ["漢字の文章と、ひらがな。", "人人生而自由,在尊严和权利上一律平等。", "सभी मनुष्यों को गौरव और अधिकारों के मामले में", "มนุษย์ทั้งหลายเกิดมามีอิสระและเสมอภาคกัน", "ߞߏ ހުރިހާ 😀😁 \x00\x01\x02 Ünï"]
+
+
+def test_symbols_are_distinct():
+    """Each code point has its own symbols, so no two texts are alike to the model but for white space."""
+    points = [p for p in range(0x110000) if p not in (0x20, *range(0x09, 0x0E))]
+    code, text = quality.grams([chr(p) for p in points], 2)
+    code &= np.uint64((1 << quality.BITS) - 1)
+    two = np.bincount(text) == 3  # lead, trail and end
+    assert two.sum() == 0x110000 - quality.WIDE
+    first, second = code[np.searchsorted(text, np.arange(len(points)))], code[np.searchsorted(text, np.arange(len(points))) + 1]
+    assert len(set(zip(first.tolist(), np.where(two, second, 0).tolist(), strict=True))) == len(points)
+    assert quality.characters(code).sum() == 2 * len(points)
+
+
 def test_quality_equals_a_plain_model(spark, docs):
-    small = docs.limit(60)
+    rng = random.Random(8)
+    other = spark.createDataFrame([(10**6 + i, "".join(rng.choice(SCRIPTS)[rng.randint(0, 3) :] + rng.choice(["", " ", "\n"]) for _ in range(rng.randint(1, 6))), "xx") for i in range(40)], "doc_id long, text string, lang string")
+    small = docs.select("doc_id", "text", "lang").limit(60).unionByName(other)
     labels = small.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic")).filter("doc_id % 3 <> 0")
     rows = {r["doc_id"]: r for r in quality.classify(small, labels, order=4).collect()}
     held = {r[0] for r in labels.filter(F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(5)) == 0).select("doc_id").collect()}
     trusted = {r["doc_id"] for r in labels.collect()}
 
+    def symbols(t):
+        """The stated symbols, one character after the other."""
+        for c in re.sub(r"[\x20\x09-\x0D]+", " ", t.lower()):
+            yield from [(c,)] if ord(c) < 0x780 else [("lead", ord(c) // 1024), ("trail", ord(c) % 1024)]
+
     def cut(t):
-        s = "\x01\x01\x01" + re.sub(r"[\x20\x09-\x0D]+", " ", t.lower()) + "\x02"
+        s = ["begin"] * 3 + list(symbols(t)) + ["end"]
         return [tuple(s[i : i + 4]) for i in range(len(s) - 3)]
 
     seqs = {r["doc_id"]: cut(r["text"]) for r in small.collect()}
     p = slow_model([s for i, s in seqs.items() if i in trusted - held], list(seqs.values()), 4)
-    for i, s in itertools.islice(seqs.items(), 25):
-        want = math.exp(-sum(math.log(p(g)) for g in s) / len(s))
-        assert math.isclose(rows[i]["perplexity"], want, rel_tol=1e-5) and rows[i]["trusted"] == (i in trusted)
+    for i, s in itertools.chain(itertools.islice(seqs.items(), 25), list(seqs.items())[60:]):
+        n = sum(g[-1][0] != "lead" for g in s)
+        want = math.exp(-sum(math.log(p(g)) for g in s) / n)
+        assert rows[i]["n_symbols"] == n and math.isclose(rows[i]["perplexity"], want, rel_tol=1e-5) and rows[i]["trusted"] == (i in trusted)
 
 
 def test_quality_of_test_tables(spark):
