@@ -9,6 +9,7 @@ from hashlib import blake2b
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: What separates words in every operator: U+0020 and U+0009..U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -53,6 +54,12 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def small(table: DataFrame, name: str, limit: int = 8 << 20) -> DataFrame:
+    """The table, broadcast if its rows, with the text of a column, are within the limit; else Spark joins it by a shuffle, splitting hot keys."""
+    size = table.agg(F.sum(F.coalesce(F.octet_length(F.col(name).cast("string")), F.lit(0)) + 64)).first()[0] or 0
+    return F.broadcast(table) if size <= limit else table
+
+
 #: Bytes of text in the largest block. An executor's memory for a task is to be some twenty times as much.
 LARGEST = 32 << 20
 

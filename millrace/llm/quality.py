@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.blocks import BUFFER, LAST, PAGES, gathered, pack, pack_sorted, pages, to_pages, unpack, unpack_sorted
-from millrace.llm.common import checkpointed, layout, mix64
+from millrace.llm.common import checkpointed, layout, mix64, small
 
 BITS = 12
 #: Symbols: a code point below WIDE is one, any other is two, a lead and a trail. So each text has its own symbols, and each fits 12 bits.
@@ -277,22 +277,17 @@ def _judge(scored: DataFrame, quantile: float, slack: float, share_slack: float)
     thousandth, over all of them."""
     scored = scored.withColumn("sure", F.col("entropy") - slack / F.sqrt("n_symbols")).withColumn("repeats", F.when(F.col("entropy").isNotNull(), F.try_divide("n_repeated", "n_words")))
     scored = scored.withColumn("sure_repeats", F.col("repeats") - share_slack / F.sqrt("n_words"))
-
-    def cut(rows: DataFrame, keys: list[str]) -> DataFrame:
-        upto = Window.partitionBy(*keys).orderBy("step")
-        reached = rows.withColumn("upto", F.sum("n").over(upto)).withColumn("all", F.sum("n").over(Window.partitionBy(*keys)))
-        return reached.filter(F.col("upto") >= quantile * F.col("all")).groupBy(*keys).agg((F.min("step") / 1000).alias("most"))
-
+    # steps are few, so the buffer of a language is, too; it is filled before the shuffle
+    most = F.expr(f"percentile_disc({quantile}) WITHIN GROUP (ORDER BY step)") / 1000
     rows = scored
     for name in ("sure", "sure_repeats"):
         steps = scored.filter("role = 2 AND entropy IS NOT NULL").select("lang", F.ceil(F.col(name) * 1000).cast("long").alias("step"))
-        count = steps.groupBy("lang", "step").agg(F.count(F.lit(1)).alias("n"))
-        own = F.broadcast(cut(count, ["lang"]).select(F.col("lang").alias("of"), F.col("most").alias("own")))
-        whole = cut(count.groupBy("step").agg(F.sum("n").alias("n")).withColumn("one", F.lit(1)), ["one"]).select("most").scalar()
+        own = small(checkpointed(steps.groupBy(F.col("lang").alias("of")).agg(most.alias("own"))), "of")
+        whole = steps.agg(most.alias("most")).scalar()
         rows = rows.join(own, F.col("lang").eqNullSafe(F.col("of")), "left").withColumn(f"most_{name}", F.coalesce("own", whole)).drop("own", "of")
-    most, share = F.col("most_sure"), F.when(F.col("most_sure_repeats").isNotNull(), F.greatest("most_sure_repeats", F.lit(0.0)))
-    within = (F.col("sure") <= F.coalesce(most, F.col("sure"))) & (F.col("sure_repeats") <= F.coalesce(share, F.col("sure_repeats")))
+    limit, share = F.col("most_sure"), F.when(F.col("most_sure_repeats").isNotNull(), F.greatest("most_sure_repeats", F.lit(0.0)))
+    within = (F.col("sure") <= F.coalesce(limit, F.col("sure"))) & (F.col("sure_repeats") <= F.coalesce(share, F.col("sure_repeats")))
     return rows.select(
-        "doc_id", "lang", (F.col("role") > 0).alias("trusted"), "n_symbols", F.exp("entropy").alias("perplexity"), F.exp(most).alias("threshold"),
+        "doc_id", "lang", (F.col("role") > 0).alias("trusted"), "n_symbols", F.exp("entropy").alias("perplexity"), F.exp(limit).alias("threshold"),
         "repeats", share.alias("most_repeats"), (F.col("entropy").isNotNull() & within).alias("kept"),
     )
