@@ -10,31 +10,47 @@ source is left, where the last documents are landed on the corner nearest to the
 from __future__ import annotations
 
 import itertools
-import math
 from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import WORD, checkpointed
+from millrace.llm.common import WORD, checkpointed, small
 
-FLIGHT = "source_ix int, doc_id {id}, size long, p double"
+FLIGHT = "source_ix long, doc_id {id}, size long, mark long, p double"
 
 
-def targets(sizes: list[tuple[str | None, int]], weights: tuple[int, ...] = (1, 2, 3), cap: float = 3.0) -> dict[str | None, float]:
-    """Words for each source: shares by weight of the whole, none above ``cap`` times its size; what a cap cuts goes to the others by weight."""
-    names = sorted((s for s, _ in sizes if s is not None), key=lambda s: [ord(c) for c in s]) + [None] * any(s is None for s, _ in sizes)
-    have, w = dict(sizes), {s: weights[i % len(weights)] for i, s in enumerate(names)}
-    whole, free, out = float(sum(have.values())), list(names), {}
-    while free:
-        unit = (whole - sum(out.values())) / sum(w[s] for s in free)
-        over = [s for s in free if unit * w[s] > cap * have[s]]
-        for s in over or free:
-            out[s] = float(cap * have[s]) if over else unit * w[s]
-        free = [s for s in free if s not in out] if over else []
-    return out
+def plan(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: float = 3.0) -> DataFrame:
+    """``source_ix, source, source_size, target, base, p, n`` for a table of sources (source, s, n).
+
+    Sources by code point, null last, weigh as ``weights`` say, over and over; the whole is shared by weight, no target is above ``cap`` times
+    the size, and what a cap cuts goes to the others by weight. As caps are met, the share of a weight only grows, so one number tells which
+    sources are capped, and the driver holds nothing but it.
+    """
+    ranged = checkpointed(sizes.repartitionByRange(F.col("source").asc_nulls_last()).select("*", F.spark_partition_id().alias("part")))
+    seen, before = 0, []
+    for r in ranged.groupBy("part").agg(F.count(F.lit(1)).alias("k")).orderBy("part").collect():  # a row for each partition
+        before.append((r["part"], seen))
+        seen += r["k"]
+    start = F.broadcast(sizes.sparkSession.createDataFrame(before, "part int, start long"))
+    number = F.col("start") + F.row_number().over(Window.partitionBy("part").orderBy(F.col("source").asc_nulls_last())) - 1
+    ranked = ranged.join(start, "part").select("source", "s", "n", number.alias("source_ix"))
+    w = F.element_at(F.array(*(F.lit(float(x)) for x in weights)), (F.col("source_ix") % len(weights) + 1).cast("int"))
+    table = checkpointed(ranked.withColumn("w", w))
+    limit = F.col("s") * float(cap)
+    whole, unit, capped = float(table.agg(F.sum("s")).first()[0] or 0), 0.0, -1
+    while True:
+        over = F.col("w") * unit > limit
+        now = table.agg(F.count(F.when(over, 1)).alias("k"), F.coalesce(F.sum(F.when(over, limit)), F.lit(0.0)).alias("done"), F.coalesce(F.sum(F.when(~over, F.col("w"))), F.lit(0.0)).alias("free")).first()
+        if now["k"] == capped or not now["free"]:
+            break
+        capped, unit = now["k"], (whole - now["done"]) / now["free"]
+    target = F.least(F.col("w") * unit, limit)
+    ratio = F.when(F.col("s") > 0, F.least(F.lit(float(cap)), target / F.col("s"))).otherwise(0.0)
+    base = F.floor(ratio + 1e-12).cast("int")
+    return table.select("source_ix", "source", F.col("s").alias("source_size"), target.alias("target"), base.alias("base"), F.greatest(F.lit(0.0), ratio - base).alias("p"), "n")
 
 
 def flight(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndarray:
@@ -94,57 +110,53 @@ def _flier(seed: int, level: int, last: bool) -> Callable[[tuple, pd.DataFrame],
     """Flight of one block of one source, and its landing on the last level."""
 
     def fly(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "size"], kind="stable", na_position="last")
+        pdf = pdf.sort_values(["doc_id", "size", "mark"], kind="stable", na_position="last")
         size = pdf["size"].to_numpy(np.int64)
         move = settle if last else flight
-        return pdf.assign(p=move(pdf["p"].to_numpy(float), size, np.random.default_rng([seed, level, int(key[0]), int(key[1])])))[["source_ix", "doc_id", "size", "p"]]
+        return pdf.assign(p=move(pdf["p"].to_numpy(float), size, np.random.default_rng([seed, level, int(key[0]), int(key[1])])))[["source_ix", "doc_id", "size", "mark", "p"]]
 
     return fly
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, seed: int = 17, block_rows: int = 4000, max_sources: int = 100_000, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, seed: int = 17, block_rows: int = 4000, broadcast_bytes: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """One row for each input row: ``doc_id, size, source_size, target, taken, source, copies``.
 
-    ``max_sources`` bounds the table of sources (name, size) that the driver holds; more is an error, not a cut.
+    Sources may be as many as documents; their table is broadcast up to ``broadcast_bytes`` and shuffled beyond.
 
     Null text has size 0, and documents without words are never taken. Null is a source of its own, last in order. Repeated rows
     are documents of their own; a null id is an id like any other. An empty table gives an empty result. Other columns are ignored.
-    Reruns agree: blocks and random draws follow from ``seed`` and the ids alone.
+    Reruns agree: blocks and random draws follow from ``seed``, ids and texts alone.
     """
-    spark = docs.sparkSession
-    rows = checkpointed(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size")))
-    stats = rows.groupBy("source").agg(F.sum("size").alias("s"), F.count(F.lit(1)).alias("n")).limit(max_sources + 1).collect()
-    if len(stats) > max_sources:
-        raise ValueError(f"more than {max_sources} sources")
-    target = targets([(r["source"], r["s"]) for r in stats], weights, float(cap))
-    plan = []
-    for ix, r in enumerate(sorted(stats, key=lambda r: (r["source"] is None, r["source"] or ""))):
-        ratio = min(float(cap), target[r["source"]] / r["s"]) if r["s"] else 0.0
-        base = math.floor(ratio + 1e-12)
-        plan.append((ix, r["source"], r["s"], target[r["source"]], base, max(0.0, ratio - base), r["n"]))
-    sources = F.broadcast(spark.createDataFrame(plan, "source_ix int, source string, source_size long, target double, base int, p double, n long"))
+    rows = checkpointed(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64(text_col).alias("mark")))
+    sources = checkpointed(plan(rows.groupBy("source").agg(F.sum("size").alias("s"), F.count(F.lit(1)).alias("n")), weights, float(cap)))
     kind = dict(rows.dtypes)["doc_id"]
-    now = rows.withColumnRenamed("source", "own").join(sources, F.col("own").eqNullSafe(F.col("source"))).select("source_ix", "doc_id", "size", F.when(F.col("size") == 0, 0.0).otherwise(F.col("p")).alias("p"), "n")
+    named = small(sources.withColumn("name", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))).drop("source", "source_size", "target", "base"), "name", limit=broadcast_bytes)
+    now = rows.withColumn("name", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))).join(named, "name").select("source_ix", "doc_id", "size", "mark", F.when(F.col("size") == 0, 0.0).otherwise(F.col("p")).alias("p"), "n")
     half = block_rows // 2
-    held = F.pmod(F.xxhash64(F.lit(seed), F.lit(-1), F.col("doc_id")), F.ceil(F.col("n") / F.lit(half)).cast("long")) == 0
+
+    def drawn(n: int) -> Column:
+        return F.xxhash64(F.lit(seed + n), F.col("doc_id"), F.col("mark"))
+
+    held = F.pmod(drawn(-1), F.ceil(F.col("n") / F.lit(half)).cast("long")) == 0
     done, level = [], 0
     reserve, now = now.filter(held), now.filter(~held)  # the reserve, about half a block of each source, waits for the last block
-    most = max((r["n"] for r in stats if r["n"] > half), default=0)
-    while most:
-        # a source's blocks: about block_rows documents each, by a hash of the id that differs from level to level
+    most = sources.agg(F.max("n")).first()[0] or 0
+    while most > half:
+        # a source's blocks: about block_rows documents each, by a hash of id and text that differs from level to level
         blocks = F.ceil(F.col("n") / F.lit(block_rows)).cast("long")
-        dealt = now.withColumn("block", F.pmod(F.xxhash64(F.lit(seed + level), F.col("doc_id")), blocks).cast("int"))
+        dealt = now.withColumn("block", F.pmod(drawn(level), blocks).cast("int"))
         moved = checkpointed(dealt.groupBy("source_ix", "block").applyInPandas(_flier(seed, level, False), FLIGHT.format(id=kind)))
         open_ = (F.col("p") > 0) & (F.col("p") < 1)
         done.append(moved.filter(~open_))
         left = moved.filter(open_)
-        counts = left.groupBy("source_ix").agg(F.count(F.lit(1)).alias("n"))  # as many rows as sources
-        now = left.join(F.broadcast(counts), "source_ix").select("source_ix", "doc_id", "size", "p", "n")
-        most, level = max((r["n"] for r in counts.collect() if r["n"] > half), default=0), level + 1
+        counts = checkpointed(left.groupBy("source_ix").agg(F.count(F.lit(1)).alias("n")))  # as many rows as sources
+        now = left.join(small(counts, "source_ix", limit=broadcast_bytes), "source_ix").select("source_ix", "doc_id", "size", "mark", "p", "n")
+        most, level = counts.agg(F.max("n")).first()[0] or 0, level + 1
     last = now.unionByName(reserve).withColumn("block", F.lit(0))
     done.append(last.groupBy("source_ix", "block").applyInPandas(_flier(seed, level, True), FLIGHT.format(id=kind)))
     out = done[0]
     for x in done[1:]:
         out = out.unionByName(x)
     copies = F.when(F.col("size") == 0, 0).otherwise(F.col("base") + F.col("x")).cast("int")
-    return out.withColumnRenamed("p", "x").join(sources, "source_ix").select("doc_id", "size", "source_size", "target", (F.col("size") * copies).cast("long").alias("taken"), "source", copies.alias("copies"))
+    told = small(sources.drop("p", "n"), "source", limit=broadcast_bytes)
+    return out.withColumnRenamed("p", "x").join(told, "source_ix").select("doc_id", "size", "source_size", "target", (F.col("size") * copies).cast("long").alias("taken"), "source", copies.alias("copies"))
