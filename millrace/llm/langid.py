@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import mix64
+from millrace.llm.common import checkpointed, mix64, written
 
 CODE_POINTS = 0x110000
 UNKNOWN = "und"
@@ -106,18 +106,37 @@ def _sum(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.nda
 
 @dataclass(frozen=True)
 class Model:
-    """Prototypes, one row for each language; as large as languages times dimensions."""
-
-    languages: tuple[str, ...]
-    prototypes: np.ndarray
+    """Sums of the languages' vectors (lang, i, v), ``dims`` rows for each language. Predictions take them in blocks of languages."""
+
+    sums: DataFrame
+    dims: int
+    block: int
+
+    def blocks(self) -> Iterator[tuple[tuple[str, ...], np.ndarray]]:
+        """Languages in order of code points, ``block`` at a time, and their prototypes of length 1. The driver holds one block."""
+        last = None
+        while True:
+            ahead = self.sums.filter("i = 0").select("lang")
+            names = [r[0] for r in (ahead if last is None else ahead.filter(F.col("lang") > last)).orderBy("lang").limit(self.block).collect()]
+            if not names:
+                return
+            table = self.sums.filter((F.col("lang") >= names[0]) & (F.col("lang") <= names[-1])).toArrow()
+            out, place = np.zeros((len(names), self.dims)), {n: i for i, n in enumerate(names)}
+            found = table["lang"].combine_chunks().dictionary_encode()
+            row = np.array([place[n] for n in found.dictionary.to_pylist()])[found.indices.to_numpy()]
+            out[row, table["i"].to_numpy()] = table["v"].to_numpy()
+            yield tuple(names), out / np.maximum(1e-300, np.linalg.norm(out, axis=1, keepdims=True))
+            if len(names) < self.block:
+                return
+            last = names[-1]
 
 
 def held_out(id_col: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
-def learn(docs: DataFrame, dims: int = 1024, max_languages: int = 2000, text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Prototypes from the rows with a language. ``max_languages`` bounds what the driver holds; more is an error, not a cut."""
+def learn(docs: DataFrame, dims: int = 1024, block: int = 512, text_col: str = "text", lang_col: str = "lang") -> Model:
+    """Prototypes from the rows with a language and a text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         space, held = Space(dims), defaultdict(list)
@@ -136,43 +155,45 @@ def learn(docs: DataFrame, dims: int = 1024, max_languages: int = 2000, text_col
             yield pa.RecordBatch.from_arrays([pa.array([lang] * dims), pa.array(np.arange(dims, dtype=np.int32)), pa.array(v)], ["lang", "i", "v"])
 
     rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    summed = rows.mapInArrow(run, "lang string, i int, v long").groupBy("lang", "i").agg(F.sum("v").alias("v"))
-    found = summed.limit(max_languages * dims + 1).collect()
-    if len(found) > max_languages * dims:
-        raise ValueError(f"more than {max_languages} languages")
-    names = tuple(sorted({r["lang"] for r in found}))
-    at, out = {n: i for i, n in enumerate(names)}, np.zeros((len(names), dims))
-    for r in found:
-        out[at[r["lang"]], r["i"]] = r["v"]
-    return Model(names, out / np.maximum(1e-300, np.linalg.norm(out, axis=1, keepdims=True)))
+    return Model(checkpointed(rows.mapInArrow(run, "lang string, i int, v long").groupBy("lang", "i").agg(F.sum("v").alias("v"))), dims, block)
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text", pred_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
-    """``docs`` with two more columns; rows and other columns stay as they are."""
-    fields, dims = docs.schema, model.prototypes.shape[1]
+    """``docs`` with two more columns; rows and other columns stay as they are. One pass over the texts for each block of languages, each
+    pass but the last written to the shared folder."""
+    out, waiting = docs.withColumns({pred_col: F.lit(UNKNOWN), score_col: F.lit(None).cast("double")}), None
+    for languages, prototypes in model.blocks():
+        out, waiting = (out if waiting is None else written(waiting)), None
+        waiting = _pass(out, languages, prototypes.astype(np.float32), text_col, pred_col, score_col)
+    found = out if waiting is None else waiting
+    return found.withColumn(score_col, F.coalesce(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col(score_col))), F.lit(0.0)))
+
+
+def _pass(docs: DataFrame, languages: tuple[str, ...], prototypes: np.ndarray, text_col: str, pred_col: str, score_col: str) -> DataFrame:
+    """The better of what is known of each document and of a block of languages; equal cosines leave what is known."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        space, prototypes = Space(dims), model.prototypes.astype(np.float32)
+        space = Space(prototypes.shape[1])
         for b in batches:
+            at = {n: b.schema.get_field_index(n) for n in (text_col, pred_col, score_col)}
             pred, score = [], []
-            for text in b.column(b.schema.get_field_index(text_col)):
+            for text, best, cosine in zip(b.column(at[text_col]), b.column(at[pred_col]).to_pylist(), b.column(at[score_col]).to_pylist(), strict=True):
                 codes, counts = trigrams(text.as_py())
-                best, cosine = UNKNOWN, 0.0
-                if len(codes) and model.languages:
+                if len(codes):
                     v = space.bundle(codes, counts)
                     cos = (prototypes @ v) / max(float(np.linalg.norm(v)), 1e-30)
                     k = int(cos.argmax())
-                    best, cosine = model.languages[k], min(1.0, max(0.0, float(cos[k])))
+                    if cosine is None or cos[k] > cosine:
+                        best, cosine = languages[k], float(cos[k])
                 pred.append(best)
                 score.append(cosine)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*b.schema.names, pred_col, score_col])
-
-    from pyspark.sql import types as T
+            new = {pred_col: pa.array(pred, pa.string()), score_col: pa.array(score, pa.float64())}
+            yield pa.RecordBatch.from_arrays([new.get(n, b.column(i)) for i, n in enumerate(b.schema.names)], b.schema.names)
 
-    return docs.mapInArrow(run, T.StructType([*fields.fields, T.StructField(pred_col, T.StringType()), T.StructField(score_col, T.DoubleType())]))
+    return docs.mapInArrow(run, docs.schema)
 
 
-def identify(docs: DataFrame, dims: int = 1024, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def identify(docs: DataFrame, dims: int = 1024, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", block: int = 512) -> DataFrame:
     """One row for each input row: ``doc_id, held_out, lang_pred, score``.
 
     Prototypes come from the rows that are not held out; languages, sources and ids are no input of a prediction. Null text, text
@@ -180,6 +201,6 @@ def identify(docs: DataFrame, dims: int = 1024, id_col: str = "doc_id", text_col
     code point. Null ids count as the empty id, repeated rows as documents of their own. An empty table gives an empty result. Other
     columns are ignored.
     """
-    model = learn(docs.filter(~held_out(id_col)), dims, text_col=text_col, lang_col=lang_col)
+    model = learn(docs.filter(~held_out(id_col)), dims, block, text_col=text_col, lang_col=lang_col)
     rows = docs.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text"))
     return predict(rows, model).drop("text")
