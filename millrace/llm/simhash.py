@@ -1,11 +1,16 @@
 """SimHash near-dedup with vantage-point trees.
 
-Two 64-bit fingerprints within 3 bits of each other differ by at most one bit in one of their two halves, and the Hamming distance
-of a half is a metric of its own. So each half has a vantage-point tree: a node holds a vantage point and a radius, and parts
-fingerprints by their distance to it. A query of radius 1 needs a side only if the triangle inequality leaves room there; near the
-border it needs both. The upper levels of a tree are built from a bounded sample and deal distinct fingerprints to shards: each goes
-to its home shard and, as a query, to every shard whose border it overlaps. A shard carries its tree on by itself, compares what is
-left exactly, and returns a spanning forest, never all pairs. Stars of all shards are joined to components by rounds of joins.
+Of two 64-bit fingerprints within 3 bits of each other at least one of four quarters is the same, and the Hamming distance of a quarter
+is a metric of its own. So each quarter has a vantage-point tree: a node holds a vantage point and a radius, and parts fingerprints by
+their distance to it. A query needs a side only if the triangle inequality leaves room there; near the border it needs both. As the
+radius of a query is ``bits // 4``, for up to 3 bits there is no border, and each fingerprint goes to four shards, however deep the trees
+are. (A tree over halves has radius 1: each level copies the band along its border, 27 % of random points at the median distance, and the
+copies double with every third level. A tree over all 64 bits has radius 3 and prunes almost nothing.)
+
+The upper levels are built from a bounded sample and deal distinct fingerprints to shards: each goes to its home shard and, as a query, to
+every shard whose border it overlaps. A shard with far more than its share (one quarter that very many have) is dealt once more, by trees
+over the two halves of the other 48 bits, where radius 1 is enough. A shard carries its tree on by itself, compares what is left exactly,
+and returns a spanning forest, never all pairs. Stars of all shards are joined to components by rounds of joins.
 """
 
 from __future__ import annotations
@@ -21,10 +26,17 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import checkpointed, mix64
 
-HALVES = (np.uint64(0x00000000FFFFFFFF), np.uint64(0xFFFFFFFF00000000))
+PARTS, WIDTH = 4, 16
+QUARTERS = tuple(np.uint64(0xFFFF << WIDTH * i) for i in range(PARTS))
 PIECE = 1 << 16
 
 
+def halves(quarter: int) -> tuple[np.uint64, np.uint64]:
+    """Masks of the two halves of the bits outside a quarter."""
+    rest = [i for i in range(64) if i // WIDTH != quarter]
+    return tuple(np.uint64(sum(1 << i for i in part)) for part in (rest[:24], rest[24:]))
+
+
 def fingerprint(raw: bytes, shingle: int = 3) -> int:
     """SimHash of a UTF-8 text: majority of the bits of the XXH64 of its word shingles, repeats included."""
     words = raw.lower().split()
@@ -111,8 +123,11 @@ class Forest:
                 self.label = self.label[self.label]
 
 
-def link(x: np.ndarray, home: np.ndarray, mask: np.uint64, bits: int, reach: int, leaf: int = 1 << 10) -> np.ndarray:
-    """Label of each point of a shard after all its exact links between a home point and any point; the tree goes on down to leaves."""
+def link(x: np.ndarray, home: np.ndarray, metrics: list[tuple[tuple[np.uint64, ...], int]], bits: int, leaf: int = 1 << 10) -> np.ndarray:
+    """Label of each point of a shard after all its exact links between a home point and any point.
+
+    ``metrics`` are tried in turn: masks with the radius at which one of them at least finds each link. The tree goes on down to leaves; where
+    a mask no longer parts its points, the next metric does."""
     forest = Forest(len(x))
 
     def compare(q: np.ndarray, h: np.ndarray) -> None:
@@ -121,46 +136,106 @@ def link(x: np.ndarray, home: np.ndarray, mask: np.uint64, bits: int, reach: int
             a, b = np.nonzero(np.bitwise_count(x[q[i : i + step]][:, None] ^ x[h][None, :]) <= bits)
             forest.join(q[i : i + step][a], h[b])
 
-    def walk(q: np.ndarray, h: np.ndarray, depth: int) -> None:
+    def walk(q: np.ndarray, h: np.ndarray, mask: np.uint64, level: int, depth: int) -> None:
         node = build(x[h[mix64(x[h]).argsort()[:256]]], mask, 1) if len(h) > leaf and depth < 40 else None
         if node is None:
-            compare(q, h)
+            if len(h) > leaf and level + 1 < len(metrics):
+                for further in metrics[level + 1][0]:
+                    walk(q, h, further, level + 1, 0)
+            else:
+                compare(q, h)
             return
-        r, (dq, dh) = node["radius"], (_distance(x[i], node["point"], mask).astype(np.int16) for i in (q, h))
-        walk(q[dq - reach <= r], h[dh <= r], depth + 1)
-        walk(q[dq + reach > r], h[dh > r], depth + 1)
+        reach, r = metrics[level][1], node["radius"]
+        dq, dh = (_distance(x[i], node["point"], mask).astype(np.int16) for i in (q, h))
+        walk(q[dq - reach <= r], h[dh <= r], mask, level, depth + 1)
+        walk(q[dq + reach > r], h[dh > r], mask, level, depth + 1)
 
-    walk(np.arange(len(x)), np.flatnonzero(home), 0)
+    for mask in metrics[0][0]:
+        walk(np.arange(len(x)), np.flatnonzero(home), mask, 0, 0)
     return forest.label
 
 
-def edges(nodes: DataFrame, count: int, bits: int = 3, shard_points: int = 20_000, max_shards: int = 4096, sample_per_shard: int = 16) -> DataFrame:
+def _sampled(nodes: DataFrame, n: int) -> np.ndarray:
+    """At most ``n`` fingerprints, chosen by hash."""
+    return np.array([r[0] for r in nodes.orderBy(F.xxhash64("fp"), "fp").limit(n).collect()], np.int64).view(np.uint64)
+
+
+def leaves(tree: dict | None, quarter: int, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What the tree of a quarter does with each of its 65,536 values: where its row starts, and leaves and whether they are its home."""
+    found = list(deal(tree, np.arange(1 << WIDTH, dtype=np.uint64) << np.uint64(WIDTH * quarter), QUARTERS[quarter], reach))
+    value = np.concatenate([i for _, i, _ in found])
+    leaf, home = np.repeat([at for at, _, _ in found], [len(i) for _, i, _ in found]), np.concatenate([h for _, _, h in found])
+    order = value.argsort(kind="stable")
+    return np.searchsorted(value[order], np.arange((1 << WIDTH) + 1)), leaf[order].astype(np.int32), home[order]
+
+
+def _depth(count: int, shard_points: int, deepest: int) -> int:
+    return min(deepest, max(0, int(np.ceil(np.log2(max(1, count / shard_points))))))
+
+
+def edges(nodes: DataFrame, count: int, bits: int = 3, shard_points: int = 20_000, deepest: int = 14, sample_per_shard: int = 16, hot: int = 4) -> DataFrame:
     """Stars ``u, v`` (v < u as labels of a shard) that connect exactly the fingerprints of ``nodes`` (column ``fp``) linked within ``bits``.
 
-    The driver holds a sample of at most ``max_shards * sample_per_shard`` fingerprints (chosen by hash) and the trees made of it.
+    The driver holds samples of at most ``sample_per_shard << deepest`` fingerprints, the trees made of them, and a row for each shard with
+    more than ``hot * shard_points`` fingerprints. From ``shard_points << deepest`` fingerprints on (328 million), shards grow with the data,
+    at 9 bytes for each of their fingerprints in memory.
     """
-    depth = max(0, int(np.ceil(np.log2(max(1, min(max_shards, count / shard_points))))))
-    sample = np.array([r[0] for r in nodes.orderBy(F.xxhash64("fp"), "fp").limit(sample_per_shard << depth).collect()], np.int64).view(np.uint64)
-    reach = bits // len(HALVES)
-    trees = [build(sample, mask, depth) for mask in HALVES]
+    depth = _depth(count, shard_points, deepest)
+    sample, reach = _sampled(nodes, sample_per_shard << depth), bits // PARTS
+    dealt = [leaves(build(sample, mask, depth), i, reach) for i, mask in enumerate(QUARTERS)]
 
     def to_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            for half, (tree, mask) in enumerate(zip(trees, HALVES, strict=True)):
-                for at, idx, home in deal(tree, x, mask, reach):
-                    n = len(idx)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, half, np.int32)), pa.array(np.full(n, at, np.int32)), pa.array(x[idx].view(np.int64)), pa.array(home)], ["half", "shard", "fp", "home"])
-
-    def search(table: pa.Table) -> pa.Table:
-        x = table["fp"].to_numpy().view(np.uint64)
+            for quarter, (start, leaf, home) in enumerate(dealt):
+                value = ((x >> np.uint64(WIDTH * quarter)) & np.uint64(0xFFFF)).astype(np.int64)
+                n = start[value + 1] - start[value]
+                place = np.arange(n.sum()) + np.repeat(start[value] - np.concatenate([[0], np.cumsum(n)[:-1]]), n)
+                kinds = (np.full(len(place), quarter, np.int32), leaf[place], np.repeat(x, n).view(np.int64), home[place])
+                yield pa.RecordBatch.from_arrays([pa.array(k) for k in kinds], ["quarter", "shard", "fp", "home"])
+
+    def star(x: np.ndarray, home: np.ndarray, metrics: list) -> pa.Table:
         order = x.argsort()
-        x, home = x[order], table["home"].to_numpy()[order]
-        label = link(x, home, HALVES[table["half"][0].as_py()], bits, reach)
+        x, home = x[order], home[order]
+        label = link(x, home, metrics, bits)
         moved = np.flatnonzero(label != np.arange(len(x)))
         return pa.table({"u": pa.array(x[moved].view(np.int64)), "v": pa.array(x[label[moved]].view(np.int64))})
 
-    return nodes.select("fp").mapInArrow(to_shards, "half int, shard int, fp long, home boolean").groupBy("half", "shard").applyInArrow(search, "u long, v long")
+    def search(table: pa.Table) -> pa.Table:
+        quarter = table["quarter"][0].as_py()
+        return star(table["fp"].to_numpy().view(np.uint64), table["home"].to_numpy(), [((QUARTERS[quarter],), reach), (halves(quarter), bits // 2)])
+
+    placed = nodes.select("fp").mapInArrow(to_shards, "quarter int, shard int, fp long, home boolean")
+    crowded = placed.groupBy("quarter", "shard").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot * shard_points).collect()
+    if not crowded:
+        return placed.groupBy("quarter", "shard").applyInArrow(search, "u long, v long")
+    names = F.broadcast(nodes.sparkSession.createDataFrame([(r["quarter"], r["shard"]) for r in crowded], "quarter int, shard int"))
+    again = _depth(max(r["n"] for r in crowded), shard_points, deepest)
+    inside = placed.join(names, ["quarter", "shard"], "left_semi")
+    trees = {}
+    for quarter in {r["quarter"] for r in crowded}:
+        sample = _sampled(inside.filter(F.col("quarter") == quarter), sample_per_shard << again)
+        trees[quarter] = [(mask, build(sample, mask, again)) for mask in halves(quarter)]
+
+    def to_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            quarter, shard, fp, home = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            for q in np.unique(quarter).tolist():
+                mine = np.flatnonzero(quarter == q)
+                for half, (mask, tree) in enumerate(trees[q]):
+                    for at, idx, near in deal(tree, fp[mine].view(np.uint64), mask, bits // 2):
+                        i = mine[idx]
+                        kinds = (quarter[i], shard[i], np.full(len(i), half, np.int32), np.full(len(i), at, np.int32), fp[i], near & home[i])
+                        yield pa.RecordBatch.from_arrays([pa.array(k) for k in kinds], ["quarter", "shard", "half", "part", "fp", "home"])
+
+    def search_part(table: pa.Table) -> pa.Table:
+        mask = halves(table["quarter"][0].as_py())[table["half"][0].as_py()]
+        return star(table["fp"].to_numpy().view(np.uint64), table["home"].to_numpy(), [((mask,), bits // 2)])
+
+    parts = inside.select("quarter", "shard", "fp", "home").mapInArrow(to_parts, "quarter int, shard int, half int, part int, fp long, home boolean")
+    calm = placed.join(names, ["quarter", "shard"], "left_anti")
+    found = calm.groupBy("quarter", "shard").applyInArrow(search, "u long, v long")
+    return found.unionByName(parts.groupBy("quarter", "shard", "half", "part").applyInArrow(search_part, "u long, v long"))
 
 
 def components(pairs: DataFrame) -> DataFrame:
