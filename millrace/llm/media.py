@@ -144,7 +144,8 @@ def split(media: bytes) -> list[bytes]:
     """The pictures of a media value: each ends with the marker FF D9, which entropy-coded data never hold."""
     out, at = [], 0
     while at < len(media):
-        end = media.index(b"\xff\xd9\xff\xd8", at) + 2 if b"\xff\xd9\xff\xd8" in media[at:] else len(media)
+        last = media.find(b"\xff\xd9\xff\xd8", at)
+        end = len(media) if last < 0 else last + 2
         out.append(media[at:end])
         at = end
     return out

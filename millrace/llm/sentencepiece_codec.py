@@ -7,7 +7,8 @@ piece that reaches over it. Each chunk gives, on its own, the matrix of best wei
 right cut; products of matrices, taken group by group and then over the groups, are associative and give the states on the best
 path. Between two known states each chunk is then encoded independently.
 
-Texts up to a chunk long are encoded in one piece, without shuffling. Giant texts are keyed by their MD5, so that copies are encoded once.
+Texts up to a chunk long are encoded in one piece, without shuffling. Giant texts are keyed by their SHA-256, so that copies are
+encoded once.
 """
 
 from __future__ import annotations
@@ -48,6 +49,8 @@ class Inner:
         self.prefix = SPACE if proto.normalizer_spec.add_dummy_prefix else ""
         if proto.normalizer_spec.precompiled_charsmap or proto.normalizer_spec.remove_extra_whitespaces:
             raise ValueError("the model rewrites its input; chunks need one that does not")
+        if any(p.type == 4 for p in proto.pieces):
+            raise ValueError("the model has user-defined pieces, which are cut out before all others; chunks need one without")
         proto.normalizer_spec.add_dummy_prefix = False
         self.sp = sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
         self.pieces = {p.piece for p in proto.pieces if p.type == 1}
@@ -159,6 +162,8 @@ def encode(docs: DataFrame, model: str = MODEL, chunk: int = 1 << 15, group: int
     ``ids`` are those of the library for the whole text; the digest is over them as little-endian 32-bit integers. ``decoded_sha256``
     is of the text decoded from them, ``round_trip`` whether that is the text (it is not where a text has U+2581, which stands for a space).
 
+    A model that rewrites its input, or has user-defined pieces, is an error.
+
     Null text is encoded as empty: no ids, and the round trip gives the empty text. Repeated rows and null ids are rows like any
     other. An empty table gives an empty result. Other columns are ignored.
     """
@@ -187,7 +192,7 @@ def encode(docs: DataFrame, model: str = MODEL, chunk: int = 1 << 15, group: int
 
     direct = rows.filter(size <= chunk).mapInArrow(short, f"doc_id {id_type}, {out_schema}")
 
-    giants = rows.filter(size > chunk).select("doc_id", F.md5(F.col("text").cast("binary")).alias("uid"), "text")
+    giants = rows.filter(size > chunk).select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("uid"), "text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sp = inner(model)

@@ -67,15 +67,15 @@ def closure(keys, linked):
     return [find(i) for i in range(len(keys))]
 
 
-@pytest.mark.parametrize("shard_points", [20_000, 16])
-def test_near(edges, docs, shard_points):
+@pytest.mark.parametrize("bits,tree", [(3, {}), (3, {"shard_points": 16}), (3, {"shard_points": 16, "hot": 1, "deepest": 3}), (5, {"shard_points": 16, "hot": 1})])
+def test_near(edges, docs, bits, tree):
     df = both(edges, docs)
     rows = rows_of(df)
     fp = [slow_fingerprint(t) for _, t in rows]
-    root = closure(fp, [(i, j) for i in range(len(fp)) for j in range(i) if (fp[i] ^ fp[j]).bit_count() <= 3])
+    root = closure(fp, [(i, j) for i in range(len(fp)) for j in range(i) if (fp[i] ^ fp[j]).bit_count() <= bits])
     least = {r: min(rows[i][0] for i in range(len(rows)) if root[i] == r) for r in set(root)}
     want = sorted((i, f"{f:016x}", least[r]) for (i, _), f, r in zip(rows, fp, root, strict=True))
-    got = sorted((LAST if r[0] is None else r[0], r[1], r[2]) for r in simhash.near_dedup(df, shard_points=shard_points).collect())
+    got = sorted((LAST if r[0] is None else r[0], r[1], r[2]) for r in simhash.near_dedup(df, bits, **tree).collect())
     assert got == want
 
 
@@ -87,21 +87,29 @@ def test_tree_finds_all_links_in_random_and_clustered_points():
         x = x ^ np.where(rng.random(len(x)) < 0.5, np.uint64(1) << rng.integers(0, 64, len(x)).astype(np.uint64), np.uint64(0))
     x = np.unique(np.concatenate([x, rng.integers(0, 1 << 63, 3000, dtype=np.uint64)]))
     near = np.bitwise_count(x[:, None] ^ x[None, :]) <= 3
-    for mask in simhash.HALVES:
-        tree = simhash.build(x[::9], mask, 3)
-        seen = np.zeros((len(x), len(x)), bool)
-        homes = np.zeros(len(x), int)
-        for _, idx, home in simhash.deal(tree, x, mask, 1):
-            homes[idx[home]] += 1
-            seen[np.ix_(idx, idx[home])] = True
-        assert (homes == 1).all()
-        close = np.bitwise_count((x[:, None] ^ x[None, :]) & mask) <= 1
-        assert seen[near & close].all()
+    for quarter in range(4):
+        for mask, reach in ((simhash.QUARTERS[quarter], 0), *((m, 1) for m in simhash.halves(quarter))):
+            tree = simhash.build(x[::9], mask, 3)
+            seen = np.zeros((len(x), len(x)), bool)
+            homes = np.zeros(len(x), int)
+            for _, idx, home in simhash.deal(tree, x, mask, reach):
+                homes[idx[home]] += 1
+                seen[np.ix_(idx, idx[home])] = True
+            assert (homes == 1).all()
+            close = np.bitwise_count((x[:, None] ^ x[None, :]) & mask) <= reach
+            assert seen[near & close].all()
+        start, leaf, home = simhash.leaves(simhash.build(x[::9], simhash.QUARTERS[quarter], 5), quarter, 0)
+        assert (np.diff(start) == 1).all() and home.all() and len(set(leaf.tolist())) > 8
     want = closure(list(x), list(zip(*np.nonzero(near), strict=True)))
     forest = simhash.Forest(len(x))
-    for mask in simhash.HALVES:
-        label = simhash.link(x, np.ones(len(x), bool), mask, 3, 1, leaf=64)
-        forest.join(np.arange(len(x)), label)
+    for quarter in range(4):
+        metrics = [((simhash.QUARTERS[quarter],), 0), (simhash.halves(quarter), 1)]
+        forest.join(np.arange(len(x)), simhash.link(x, np.ones(len(x), bool), metrics, 3, leaf=64))
+        y = (x & ~simhash.QUARTERS[quarter]) | np.uint64(0xABCD << 16 * quarter)  # one value of the quarter for all
+        label = simhash.link(y, np.ones(len(y), bool), metrics, 3, leaf=64)
+        near_y = np.bitwise_count(y[:, None] ^ y[None, :]) <= 3
+        plain = closure(list(y), list(zip(*np.nonzero(near_y), strict=True)))
+        assert [list(label).index(v) for v in label] == [plain.index(v) for v in plain]
     same = lambda a: [list(a).index(v) for v in a]
     assert same(forest.label) == same(want)
 
