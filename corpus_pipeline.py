@@ -12,26 +12,32 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.llm import langid
-from millrace.llm.common import SPACE, WORD, written
+from millrace.llm.common import SPACE, WORD, discard, written
 from millrace.llm.exact_dedup import exact_dedup
 from millrace.llm.mixing import mix
 from millrace.llm.sentencepiece_codec import encode
 from millrace.llm.simhash import near_keepers
 
 
+def _named(rows: DataFrame, doc_id: str, key: Column) -> DataFrame:
+    """Rows with the two columns by which they are met: the id as text (null is empty), and a key."""
+    return rows.withColumn("__id", F.coalesce(F.concat(F.lit("="), F.col(doc_id).cast("string")), F.lit(""))).withColumn("__key", key)
+
+
 def _keep(docs: DataFrame, key: Column, keepers: DataFrame) -> DataFrame:
     """One row of ``docs`` for each of ``keepers`` (``keep_id, keep_key``, distinct), nulls included: of rows with its id and ``key`` the one
-    with the longest text, then the smallest."""
-    keyed = docs.withColumn("__key", key)
-    found = keyed.join(keepers, keyed["doc_id"].eqNullSafe(F.col("keep_id")) & (F.col("__key") == F.col("keep_key")), "left_semi")
+    with the longest text, then the smallest. Texts are shuffled once: what is joined by is also what is grouped by."""
+    by = ["__id", "__key"]
+    found = _named(docs, "doc_id", key).join(_named(keepers, "keep_id", F.col("keep_key")).select(*by), by, "left_semi")
     order = F.struct((-F.length(F.coalesce("text", F.lit("")))).alias("__neg"), *docs.columns)
-    return found.groupBy("doc_id", "__key").agg(F.min(order).alias("__row")).select(*(F.col(f"__row.{c}").alias(c) for c in docs.columns))
+    return found.groupBy(*by).agg(F.min(order).alias("__row")).select(*(F.col(f"__row.{c}").alias(c) for c in docs.columns))
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a recognisable language go (null or letterless texts)."""
+    """Documents without a recognisable language go (null or letterless texts); the others have the language that was found as ``lang``."""
     model = langid.learn(docs.filter(~langid.held_out()))
-    return langid.predict(docs, model, pred_col="__lang", score_col="__score").filter(F.col("__lang") != langid.UNKNOWN).drop("__lang", "__score")
+    found = langid.predict(docs, model, pred_col="__lang", score_col="__score").filter(F.col("__lang") != langid.UNKNOWN)
+    return found.withColumn("lang", F.col("__lang")).select(*docs.columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -78,11 +84,15 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The rows of the last stage. Each stage's table is written and removed as soon as the next one is; the last stage reads the one that is left."""
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = written(docs)
+            if last is not None:
+                discard(last)
+            last = docs
     return docs
 
 
