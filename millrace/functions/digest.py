@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions.names import col
+
 
 def field_text(df: DataFrame, name: str) -> Column:
     """Text of a value: null is ``\\N``; backslash and bar are escaped; doubles are written with six decimals."""
     kind = dict(df.dtypes)[name]
-    c = F.col(f"`{name}`")
+    c = col(name)
     if kind in ("double", "float"):
         c = F.when(F.isnan(c), F.lit("NaN")).otherwise(F.coalesce(c.try_cast("decimal(38,6)").cast("string"), c.cast("string")))
     else:

@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions.names import col, quoted
+
 CDC = "_cdc"
 
 
@@ -43,9 +45,9 @@ def fold(changes: DataFrame, pk: list[str]) -> DataFrame:
     def last(c: str) -> Column:
         known = live & ~F.array_contains(F.coalesce(f"{CDC}.unchanged", F.array().cast("array<string>")), c)
         has = F.col(f"{CDC}.present").isNull() | F.array_contains(f"{CDC}.present", c)
-        return F.max_by(F.struct(F.col(f"`{c}`").alias("v"), F.coalesce(has, F.lit(True)).alias("has"), seq.alias("seq")), F.when(known, seq))
+        return F.max_by(F.struct(col(c).alias("v"), F.coalesce(has, F.lit(True)).alias("has"), seq.alias("seq")), F.when(known, seq))
 
-    grouped = changes.groupBy(*(F.col(f"`{k}`") for k in pk)).agg(
+    grouped = changes.groupBy(*(col(k) for k in pk)).agg(
         F.max_by(CDC, seq).alias("__last"),
         F.max(F.when(~live, seq)).alias("__deleted"),
         *(last(c).alias(f"__e{i}") for i, c in enumerate(cols)),
@@ -59,7 +61,7 @@ def fold(changes: DataFrame, pk: list[str]) -> DataFrame:
         unknown.append(F.when(~known & ~gone, F.lit(c)))
     unchanged = F.array_compact(F.array(*unknown)) if unknown else F.array().cast("array<string>")
     state = cdc(F.col("__last.op"), F.col("__last.seq"), F.col("__last.lsn"), F.col("__last.commit_ts"), unchanged)
-    return grouped.select(*(F.col(f"`{k}`") for k in pk), *out, state)
+    return grouped.select(*(col(k) for k in pk), *out, state)
 
 
 def materialize(folded: DataFrame) -> DataFrame:
@@ -72,27 +74,53 @@ def as_snapshot(table: DataFrame, seq: int = -(1 << 62), commit_ts: Column | Non
     return table.select("*", cdc(F.lit("r"), F.lit(seq), F.lit(0), commit_ts))
 
 
+def _open(changes: DataFrame) -> Column:
+    """Inserts after a change of key that still lack values."""
+    return (F.col(f"{CDC}.op") == "c") & F.col(f"{CDC}.moved_from").isNotNull() & (F.size(f"{CDC}.unchanged") > 0)
+
+
 def carry(changes: DataFrame, target: DataFrame | None, pk: list[str]) -> DataFrame:
     """Fill what an insert after a change of key left unchanged from the old key's row, as it was just before.
 
-    That row's history is the table's row and the batch's earlier changes of the old key; both are joined by the text of the key, for
-    the moved rows only. What isn't found there stays unchanged. Keys that change again and again are followed one step in a batch.
+    That row's history is the table's row and the batch's earlier changes of the old key. A key that changed again and again takes a step for
+    each change, until nothing more is found; what isn't found stays unchanged. A batch without such inserts costs one pass over it.
     """
+
+    def missing(df: DataFrame) -> int:
+        return df.filter(_open(df)).agg(F.coalesce(F.sum(F.size(f"{CDC}.unchanged")), F.lit(0))).first()[0]
+
+    left = missing(changes)
+    while left:
+        now = _carry_step(changes, target, pk).persist()
+        still = missing(now)
+        if still == left:
+            now.unpersist()
+            break
+        left, changes = still, now
+    return changes
+
+
+def _carry_step(changes: DataFrame, target: DataFrame | None, pk: list[str]) -> DataFrame:
+    """One step back for every such insert, by the text of the key; of the table only the asked rows are joined."""
     cols = columns(changes, pk)
-    moved = changes.filter((F.col(f"{CDC}.op") == "c") & F.col(f"{CDC}.moved_from").isNotNull() & (F.size(f"{CDC}.unchanged") > 0))
+    moved = changes.filter(_open(changes))
     old = F.array(*(F.try_element_at(F.col(f"{CDC}.moved_from"), F.lit(k)) for k in pk))
     ids = [f"__m{i}" for i in range(len(pk))]
-    asked = moved.select(*(F.col(f"`{k}`").alias(i) for k, i in zip(pk, ids, strict=True)), F.col(f"{CDC}.seq").alias("__mseq"), old.alias("__old"))
-    known = changes if target is None else changes.unionByName(as_snapshot(target.select(*pk, *(c for c in cols if c in target.columns))), allowMissingColumns=True)
-    here = known.withColumn("__key", F.array(*(F.col(f"`{k}`").cast("string") for k in pk)))
+    asked = moved.select(*(col(k).alias(i) for k, i in zip(pk, ids, strict=True)), F.col(f"{CDC}.seq").alias("__mseq"), old.alias("__old"))
+    here = F.array(*(col(k).cast("string") for k in pk))
+    known = changes.withColumn("__key", here)
+    if target is not None:
+        rows = target.select(*(col(c) for c in [*pk, *cols] if c in target.columns)).withColumn("__key", here)
+        asked_rows = rows.join(asked.select(F.col("__old").alias("__key")).distinct(), "__key", "left_semi")
+        known = known.unionByName(as_snapshot(asked_rows), allowMissingColumns=True)
     seq = F.col(f"{CDC}.seq")
-    past = here.join(asked, (F.col("__key") == F.col("__old")) & (seq < F.col("__mseq")) & ~((F.col(f"{CDC}.op") == "d") & (seq == F.col("__mseq") - 1)))
-    state = fold(past.select(*ids, "__mseq", *(F.col(f"`{c}`") for c in cols), CDC), [*ids, "__mseq"])
-    found = state.filter(F.col(f"{CDC}.op") != "d").select(*ids, "__mseq", F.struct(*(F.col(f"`{c}`") for c in cols)).alias("__v"), F.col(f"{CDC}.unchanged").alias("__still"))
-    rows = changes.join(found, [*(F.col(f"`{k}`") == F.col(i) for k, i in zip(pk, ids, strict=True)), seq == F.col("__mseq")], "left")
+    past = known.join(asked, (F.col("__key") == F.col("__old")) & (seq < F.col("__mseq")) & ~((F.col(f"{CDC}.op") == "d") & (seq == F.col("__mseq") - 1)))
+    state = fold(past.select(*ids, "__mseq", *(col(c) for c in cols), CDC), [*ids, "__mseq"])
+    found = state.filter(F.col(f"{CDC}.op") != "d").select(*ids, "__mseq", F.struct(*(col(c) for c in cols)).alias("__v"), F.col(f"{CDC}.unchanged").alias("__still"))
+    rows = changes.join(found, [*(col(k) == F.col(i) for k, i in zip(pk, ids, strict=True)), seq == F.col("__mseq")], "left")
     open_ = F.col(f"{CDC}.unchanged")
     filled = F.when(F.col("__v").isNotNull(), F.array_except(open_, F.col("__still"))).otherwise(F.array().cast("array<string>"))
-    out = [F.when(F.array_contains(filled, c), F.col(f"__v.`{c}`")).otherwise(F.col(f"`{c}`")).alias(c) for c in cols]
+    out = [F.when(F.array_contains(filled, c), F.col(f"__v.{quoted(c)}")).otherwise(col(c)).alias(c) for c in cols]
     present = F.when(F.col(f"{CDC}.present").isNotNull(), F.array_union(f"{CDC}.present", filled))
     book = cdc(F.col(f"{CDC}.op"), seq, F.col(f"{CDC}.lsn"), F.col(f"{CDC}.commit_ts"), F.array_except(open_, filled), present, F.col(f"{CDC}.moved_from"))
-    return rows.select(*(F.col(f"`{k}`") for k in pk), *out, book)
+    return rows.select(*(col(k) for k in pk), *out, book)

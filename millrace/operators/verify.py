@@ -1,7 +1,7 @@
 """Verification: a count and a digest of a table, and what differs between two.
 
 The digest doesn't depend on partitioning and never gathers a table in one task: rows are hashed, their hashes strung together in key
-order in chunks (by the first hex digits of the key's MD5), and the chunks' digests strung together in turn.
+order in chunks (by the first hex digits of the key's MD5), and the chunks' digests strung together in turn, level by level.
 """
 
 from __future__ import annotations
@@ -9,20 +9,41 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.digest import key_text, row_text
+from millrace.functions.names import col
 
 
-def checksum(df: DataFrame, pk: list[str], digits: int = 2) -> DataFrame:
-    """One row: ``count, digest``; an empty table has 0 and the empty string. ``16 ** digits`` chunks: more for larger tables."""
+#: Rows of a chunk, about, and hex digits of a level: 256 chunks make one of the level above.
+CHUNK_ROWS, LEVEL = 1 << 16, 2
+
+
+def _digits(n: int) -> int:
+    """Digits of the finest chunks of a table of so many rows: a multiple of a level."""
+    digits = LEVEL
+    while n > CHUNK_ROWS * 16**digits:
+        digits += LEVEL
+    return digits
+
+
+def checksum(df: DataFrame, pk: list[str], digits: int | None = None) -> DataFrame:
+    """One row: ``count, digest``; an empty table has 0 and the empty string. The finest chunks have ``digits`` hex digits of the key's MD5, as
+    many as the number of rows asks for; level by level, 256 digests make one. So no group has more than a chunk's rows."""
+    finest = _digits(df.count()) if digits is None else digits
     cols = [*pk, *sorted(c for c in df.columns if c not in pk)]
     key = key_text(df, pk)
-    rows = df.select(key.alias("k"), F.substring(F.md5(key.cast("binary")), 1, digits).alias("chunk"), F.md5(row_text(df, cols).cast("binary")).alias("h"))
-    chunks = rows.groupBy("chunk").agg(F.count(F.lit(1)).alias("n"), F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "h"))), lambda x: x["h"]), "").cast("binary")).alias("d"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "d"))), lambda x: x["d"]), "")
-    total = chunks.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("count"), joined.alias("all"))
+    rows = df.select(key.alias("k"), F.substring(F.md5(key.cast("binary")), 1, finest).alias("chunk"), F.md5(row_text(df, cols).cast("binary")).alias("h"))
+
+    def strung(of: str, by: str) -> Column:
+        """Digests in order of a column, strung together."""
+        return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(by, of))), lambda x: x[of]), "")
+
+    level = rows.groupBy("chunk").agg(F.count(F.lit(1)).alias("n"), F.md5(strung("h", "k").cast("binary")).alias("d"))
+    for have in range(finest - LEVEL, 0, -LEVEL):
+        level = level.groupBy(F.substring("chunk", 1, have).alias("up")).agg(F.sum("n").alias("n"), F.md5(strung("d", "chunk").cast("binary")).alias("d")).withColumnRenamed("up", "chunk")
+    total = level.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("count"), strung("d", "chunk").alias("all"))
     return total.select("count", F.when(F.col("count") > 0, F.md5(F.col("all").cast("binary"))).otherwise("").alias("digest"))
 
 
@@ -51,8 +72,8 @@ def report(compared: DataFrame) -> DataFrame:
 def row_diff(source: DataFrame, copy: DataFrame, pk: list[str]) -> DataFrame:
     """Keys that differ: ``missing`` in the copy, ``extra`` there, or ``changed``."""
     cols = [*pk, *sorted(c for c in source.columns if c not in pk)]
-    a = source.select(*(F.col(k).alias(f"__a{i}") for i, k in enumerate(pk)), F.md5(row_text(source, cols).cast("binary")).alias("__ha"))
-    b = copy.select(*(F.col(k).alias(f"__b{i}") for i, k in enumerate(pk)), F.md5(row_text(copy, cols).cast("binary")).alias("__hb"))
+    a = source.select(*(col(k).alias(f"__a{i}") for i, k in enumerate(pk)), F.md5(row_text(source, cols).cast("binary")).alias("__ha"))
+    b = copy.select(*(col(k).alias(f"__b{i}") for i, k in enumerate(pk)), F.md5(row_text(copy, cols).cast("binary")).alias("__hb"))
     joined = a.join(b, [F.col(f"__a{i}") == F.col(f"__b{i}") for i in range(len(pk))], "full_outer")
     kind = F.when(F.col("__hb").isNull(), "missing").when(F.col("__ha").isNull(), "extra").when(F.col("__ha") != F.col("__hb"), "changed")
     return joined.select(*(F.coalesce(f"__a{i}", f"__b{i}").alias(k) for i, k in enumerate(pk)), kind.alias("diff")).filter("diff IS NOT NULL")

@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from millrace.functions import types
 from millrace.operators import batch, envelope, latency, verify, wal
-from millrace.operators.fold import CDC, as_snapshot, fold, materialize
-from millrace.operators.merge import APPLIED_AT, COMMIT_TS, classify, merge
+from millrace.operators.fold import CDC, as_snapshot, carry, fold, materialize
+from millrace.operators.merge import APPLIED_AT, COMMIT_TS, classify, is_small, merge
 from millrace.plans.oracle import SQL
 from millrace.sources import changelog as log
 from millrace.sources import snapshot
+from millrace.streaming.apply import step
 
 USER = ["user_id"]
 ORDER = ["o_orderkey"]
@@ -111,9 +112,10 @@ def merge_full(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def merge_small_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The broadcast form of the merge, over a batch of one row for each user (its size is checked before)."""
+    """The merge that broadcasts its batch if the batch's bytes allow it."""
     first, second = _halves(spark, sf_dir)
-    return _state(merge(materialize(first), second, USER, small_batch=second.count() <= 1_000_000))
+    second = second.persist()
+    return _state(merge(materialize(first), second, USER, small_batch=is_small(second)))
 
 
 def merge_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,8 +156,30 @@ def backfill_then_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialize(fold(as_snapshot(orders).unionByName(live), ORDER))
 
 
+def key_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders whose key changes twice in a batch, without their priority: it comes from the table, two steps back."""
+    orders = log.table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    changes = log.chg_moved_twice(spark, sf_dir)
+    return merge(orders, fold(carry(changes, orders, ORDER), ORDER), ORDER).select("o_orderkey", "o_orderstatus", "o_orderpriority")
+
+
+def wal_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log decoded in three parts, cut inside transactions; what is open at a cut is handed on."""
+    m = log.wal_msgs(spark, sf_dir)
+    last = m.agg(F.max("pos")).first()[0]
+    cuts = [-2, last // 3 + 2, 2 * last // 3 + 5, last]
+    out, waiting = None, None
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        events, left = step(m.filter((F.col("pos") > a) & (F.col("pos") <= b)), waiting)
+        out, waiting = (events if out is None else out.unionByName(events)), left.persist()
+    return _decoded(out)
+
+
 def wal_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = wal.events(log.wal_msgs(spark, sf_dir))
+    return _decoded(wal.events(log.wal_msgs(spark, sf_dir)))
+
+
+def _decoded(e: DataFrame) -> DataFrame:
     return e.select("op", "table", F.element_at("pk", "event_id").cast("long").alias("event_id"), F.element_at("after", "event_type").alias("event_type"), F.try_element_at("after", F.lit("props")).alias("props"), F.size("after").cast("long").alias("n_after"), F.element_at("types", "event_id").alias("key_type"))
 
 
@@ -246,10 +270,29 @@ def staging_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", F.col(f"{CDC}.op").alias("op"), F.array_join(f"{CDC}.unchanged", ",").alias("unchanged"))
 
 
-def catalog_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _catalogue(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    """Attributes and primary indexes of two tables; the second one's index has its columns in another order than the table."""
     a = spark.createDataFrame([("public.t", 1, "zeta", "text", False), ("public.t", 2, "id", "bigint", False), ("public.t", 3, "alpha", "text", False), ("public.t", 4, "mid", "text", False), ("public.t", 5, "old", "text", True), ("public.t", -1, "ctid", "tid", False), ("public.u", 1, "b", "int", False), ("public.u", 2, "a", "int", False)], "table string, num int, column string, type string, dropped boolean")
-    i = spark.createDataFrame([("public.t", [2]), ("public.u", [1, 2])], "table string, keys array<int>")
-    return snapshot.catalog(a, i).withColumn("place", F.col("place").cast("long"))
+    return a, spark.createDataFrame([("public.t", [2]), ("public.u", [1, 2])], "table string, keys array<int>")
+
+
+def catalog_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return snapshot.catalog(*_catalogue(spark)).withColumn("place", F.col("place").cast("long"))
+
+
+def index_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return snapshot.key_columns(*_catalogue(spark))
+
+
+def table_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return snapshot.shape(*_catalogue(spark)).select("table", F.array_join("pk", ",").alias("pk"), F.array_join("columns", ",").alias("columns"))
+
+
+def published_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of a made-up catalogue: the tables of nations of even key are published by region, some of them twice."""
+    n = log.table(spark, sf_dir, "nation").filter("n_nationkey % 2 = 0")
+    rows = n.select(F.concat(F.lit("region_"), "n_regionkey").alias("publication"), F.lit("public").alias("schema"), F.lower("n_name").alias("table"))
+    return snapshot.published(rows.unionByName(rows.filter("table < 'f'")), "region_1")
 
 
 # ---- verification -------------------------------------------------------------------------------
@@ -312,20 +355,29 @@ def latency_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def latency_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return latency.csv_rows(latency.by_minute(log.latency_events(spark, sf_dir))).select("minute", "row_count", "max_latency_s")
+    return latency.csv_rows(latency.by_minute(log.latency_events(spark, sf_dir)))
+
+
+def _load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The generated load, an iteration for each customer."""
+    return log.load_changelog(spark, log.table(spark, sf_dir, "customer").count())
+
+
+def load_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _load(spark, sf_dir).groupBy("kind", F.col(f"{CDC}.op").alias("op")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def load_changelog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    state = materialize(fold(log.load_changelog(spark, 300), ["kind", "id"]))
+    state = materialize(fold(_load(spark, sf_dir), ["kind", "id"]))
     return state.select("kind", "id", "status", F.coalesce(F.length("notes"), F.lit(0)).cast("long").alias("n_notes"), F.md5(F.coalesce("notes", F.lit("")).cast("binary")).alias("notes_md5"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     plain = (
         fold_last, fold_toast, fold_delete, fold_composite_pk, batch_by_table, batch_stats, batch_schema, partition_high_water, merge_insert, merge_upsert, merge_delete, merge_upsert_toast, merge_full,
-        merge_small_batch, merge_metadata, replay_idempotent, split_equivalence, backfill_orders, backfill_then_stream, wal_decode, txn_assemble, txn_stats, txn_stamp, asof_schema, pk_change_split, toast_marker,
-        event_key, envelope_roundtrip, envelope_reject, type_map, pg_cast, staging_rows, catalog_columns, checksum_empty, verify_match, verify_mismatch, verify_report, verify_row_diff, replica_counts,
-        latency_by_minute, latency_since, latency_overall, latency_csv, load_changelog,
+        merge_small_batch, merge_metadata, replay_idempotent, split_equivalence, backfill_orders, backfill_then_stream, key_chain, wal_decode, wal_split, txn_assemble, txn_stats, txn_stamp, asof_schema, pk_change_split, toast_marker,
+        event_key, envelope_roundtrip, envelope_reject, type_map, pg_cast, staging_rows, catalog_columns, index_keys, table_shapes, published_tables, checksum_empty, verify_match, verify_mismatch, verify_report, verify_row_diff, replica_counts,
+        latency_by_minute, latency_since, latency_overall, latency_csv, load_changelog, load_counts,
     )
     sums = {f"checksum_{t}": _checksum(t, pk) for t, pk in (("customer", ["c_custkey"]), ("orders", ORDER), ("nation", ["n_nationkey"]))}
     return {f.__name__: f for f in plain} | sums

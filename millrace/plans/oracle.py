@@ -109,6 +109,11 @@ SELECT l.user_id, commit_ts, CASE WHEN b.user_id IS NULL THEN TIMESTAMP '2030-01
     "backfill_orders": """SELECT 'r' AS op, 'public.orders' AS "table", CAST(0 AS BIGINT) AS lsn, CAST(o_orderkey AS VARCHAR) AS key, CAST(o_custkey AS VARCHAR) AS o_custkey, o_orderstatus, CAST(o_orderdate AS VARCHAR) AS o_orderdate, 'bigint' AS custkey_type, 'timestamp' AS orderdate_type FROM orders""",
     "backfill_then_stream": LIVE_ORDERS,
     "wal_decode": f"""WITH {WAL} SELECT 'c' AS op, 'public.events' AS "table", event_id, event_type, CASE WHEN late THEN props END AS props, CASE WHEN late THEN 5 ELSE 4 END AS n_after, 'bigint' AS key_type FROM ok""",
+    "wal_split": f"""WITH {WAL} SELECT 'c' AS op, 'public.events' AS "table", event_id, event_type, CASE WHEN late THEN props END AS props, CASE WHEN late THEN 5 ELSE 4 END AS n_after, 'bigint' AS key_type FROM ok""",
+    "key_chain": """SELECT CASE WHEN o_orderkey % 11 = 0 THEN o_orderkey + 20000000 ELSE o_orderkey END AS o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN o_orderstatus || '/3' ELSE o_orderstatus END AS o_orderstatus, o_orderpriority FROM orders""",
+    "index_keys": """SELECT * FROM (VALUES ('public.t','id',CAST(1 AS BIGINT)),('public.u','b',1),('public.u','a',2)) v("table", "column", place)""",
+    "table_shapes": """SELECT * FROM (VALUES ('public.t','id','alpha,mid,zeta'),('public.u','b,a','')) v("table", pk, columns)""",
+    "published_tables": """SELECT 'public.' || lower(n_name) AS "table" FROM nation WHERE n_nationkey % 2 = 0 AND n_regionkey = 1""",
     "txn_assemble": f"WITH {WAL} SELECT txn * 10 AS txn, pos, event_id FROM ok",
     "txn_stats": f"WITH {WAL} SELECT txn * 10 AS txn, count(*) AS n FROM ok GROUP BY 1",
     "txn_stamp": f"WITH {WAL} SELECT pos, txn * 100 + 99 AS lsn, cts AS commit_ts FROM ok",
@@ -138,8 +143,11 @@ FROM customer a FULL OUTER JOIN dest b ON a.c_custkey = b.c_custkey WHERE a.c_cu
     "latency_by_minute": f"WITH {LATENCY} {ROUNDED} ({MINUTES} GROUP BY 1)",
     "latency_since": f"WITH {LATENCY}, newest AS (SELECT max(ts + to_microseconds(CAST(round(value * 1000) * 1000 AS BIGINT))) AS m FROM events) {ROUNDED} ({MINUTES} WHERE applied >= (SELECT m FROM newest) - INTERVAL 1 DAY GROUP BY 1)",
     "latency_overall": f"WITH {LATENCY}, m AS ({MINUTES} GROUP BY 1) SELECT CAST(sum(row_count) AS BIGINT) AS row_count, round(sum(avg_latency_s * row_count) / sum(row_count), 4) AS avg_latency_s, round(max(p95_latency_s), 4) AS p95_max_bucket_s, round(max(max_latency_s), 4) AS max_latency_s, (SELECT round(quantile_cont(s, 0.95), 4) FROM s) AS p95_true_s FROM m",
-    "latency_csv": f"WITH {LATENCY} SELECT strftime(minute, '%Y-%m-%d %H:%M:%S') AS minute, CAST(row_count AS VARCHAR) AS row_count, printf('%.3f', max_latency_s) AS max_latency_s FROM ({MINUTES} GROUP BY 1)",
-    "load_changelog": """WITH i AS (SELECT range AS id, (range + 1) % 3 = 0 AND range < 300 AS gone FROM range(1, 301)),
+    "latency_csv": f"""WITH {LATENCY} SELECT strftime(minute, '%Y-%m-%d %H:%M:%S') AS minute, CAST(row_count AS VARCHAR) AS row_count, printf('%.3f', round(avg_latency_s, 6) + 1e-9) AS avg_latency_s,
+printf('%.3f', round(p95_latency_s, 6) + 1e-9) AS p95_latency_s, printf('%.3f', round(max_latency_s, 6) + 1e-9) AS max_latency_s FROM ({MINUTES} GROUP BY 1)""",
+    "load_counts": """WITH c AS (SELECT count(*) AS n FROM customer)
+SELECT * FROM (SELECT unnest(['animal', 'animal', 'animal', 'observation', 'observation', 'observation']) AS kind, unnest(['c', 'u', 'd', 'c', 'u', 'd']) AS op, unnest([n, n, n // 3, n, n, n // 3]) AS n FROM c) WHERE n > 0""",
+    "load_changelog": """WITH c AS (SELECT count(*) AS total FROM customer), r AS (SELECT unnest(range(1, total + 1)) AS id, total FROM c), i AS (SELECT id, (id + 1) % 3 = 0 AND id < total AS gone FROM r),
 n AS (SELECT id, string_agg(md5(id || '-' || j), '' ORDER BY j) AS notes FROM i, range(1, 301) r(j) WHERE NOT gone GROUP BY id)
 SELECT 'animal' AS kind, id, 'adult' AS status, CAST(0 AS BIGINT) AS n_notes, md5('') AS notes_md5 FROM i WHERE NOT gone UNION ALL SELECT 'observation', id, 'moved', length(notes), md5(notes) FROM n""",
 }

@@ -56,6 +56,16 @@ def chg_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def chg_moved_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every eleventh order moves by ten million twice, each time as a delete and an insert that doesn't have the priority again."""
+    move = lambda step, op: F.struct(F.lit(2 * step + (op == "c")).alias("seq"), F.lit(op).alias("op"), F.lit(10_000_000 * (step + (op == "c"))).alias("add"), (F.lit(10_000_000 * step) if op == "c" else F.lit(None).cast("int")).alias("was"))
+    o = table(spark, sf_dir, "orders").filter("o_orderkey % 11 = 0").withColumn("x", F.explode(F.array(*(move(step, op) for step in (0, 1) for op in "dc"))))
+    kept = F.when(F.col("x.op") == "c", F.array(F.lit("o_orderpriority"))).otherwise(F.array().cast("array<string>"))
+    was = F.when(F.col("x.op") == "c", F.create_map(F.lit("o_orderkey"), (F.col("o_orderkey") + F.col("x.was")).cast("string")))
+    status = F.when(F.col("x.op") == "c", F.concat("o_orderstatus", F.lit("/"), F.col("x.seq")))
+    return o.select((F.col("o_orderkey") + F.col("x.add")).alias("o_orderkey"), status.alias("o_orderstatus"), F.lit(None).cast("string").alias("o_orderpriority"), cdc(F.col("x.op"), F.col("x.seq"), None, None, kept, None, was))
+
+
 def chg_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Snapshot, an update that leaves long texts unchanged, deletes."""
     d = F.col("doc_id")

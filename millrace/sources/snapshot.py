@@ -46,3 +46,21 @@ def catalog(attributes: DataFrame, indexes: DataFrame) -> DataFrame:
     is_key = F.coalesce(F.array_contains("keys", F.col("num")), F.lit(False))
     rows = keyed.select("table", "column", "type", is_key.alias("is_key"))
     return rows.selectExpr("*", "row_number() OVER (PARTITION BY table ORDER BY NOT is_key, column) AS place")
+
+
+def published(publications: DataFrame, name: str) -> DataFrame:
+    """``table``: the tables of a publication, with their schema, from rows (publication, schema, table). In order where they are listed."""
+    return publications.filter(F.col("publication") == name).select(F.concat_ws(".", "schema", "table").alias("table")).distinct()
+
+
+def key_columns(attributes: DataFrame, indexes: DataFrame) -> DataFrame:
+    """``table, column, place``: the key columns of each table in the order of its primary index, from rows as for ``catalog``."""
+    joined = attributes.join(indexes.select(F.col("table").alias("__t"), "keys"), (F.col("table") == F.col("__t")) & F.array_contains("keys", F.col("num")))
+    return joined.filter("num > 0 AND NOT dropped").select("table", "column", F.array_position("keys", F.col("num")).alias("place"))
+
+
+def shape(attributes: DataFrame, indexes: DataFrame) -> DataFrame:
+    """``table, pk, columns``: key columns in the order of the index, and the others in order of name."""
+    keys = key_columns(attributes, indexes).groupBy("table").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "column"))), lambda x: x["column"]).alias("pk"))
+    live = attributes.filter("num > 0 AND NOT dropped").groupBy("table").agg(F.array_sort(F.collect_list("column")).alias("all"))
+    return keys.join(live, "table").select("table", "pk", F.array_except("all", "pk").alias("columns"))

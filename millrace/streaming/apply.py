@@ -6,6 +6,8 @@ bounded by files or offsets for each trigger (``maxFilesPerTrigger``, ``maxOffse
 
 from __future__ import annotations
 
+import json
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 from millrace.operators import envelope, wal
 from millrace.operators.merge import APPLIED_AT, COMMIT_TS
 from millrace.sources import snapshot
-from millrace.streaming.table import KeyedTable
+from millrace.streaming.table import KeyedTable, file_system, names
 
 
 @dataclass
@@ -31,34 +33,48 @@ def capture(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataF
     return spark.readStream.schema(wal.MESSAGE).option("maxFilesPerTrigger", files_per_trigger).json(path)
 
 
-def start_capture(messages: DataFrame, relations: DataFrame, out: str, checkpoint: str, once: bool = True) -> StreamingQuery:
+def published(spark: SparkSession, path: str, files_per_trigger: int = 1000) -> DataFrame:
+    """The stream of events that ``start_capture`` writes. Files of a batch hold different keys and batches come in order, so a key's changes do, too."""
+    stream = spark.readStream.schema("key string, value string, seq long").option("recursiveFileLookup", "true")
+    return stream.option("maxFilesPerTrigger", files_per_trigger).json(path)
+
+
+def step(part: DataFrame, waiting: DataFrame | None, relations: DataFrame | None = None, after: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Events of the transactions that a part of the log commits, and what later parts still need: messages of open transactions and
+    relations. ``waiting`` is that of the parts before. Transactions committed up to ``after`` have no events: a snapshot has them."""
+    log = part if waiting is None else part.unionByName(waiting)
+    known = (log if relations is None else relations.unionByName(log, allowMissingColumns=True)).filter("kind = 'R'").dropDuplicates(["rel_id", "pos"])
+    rows = wal.assemble(log)
+    if after is not None:
+        rows = rows.filter(F.col("lsn") > F.lit(after))
+    return wal.decode(wal.with_relation(rows, known)), wal.still_open(log)
+
+
+def start_capture(messages: DataFrame, relations: DataFrame, out: str, checkpoint: str, once: bool = True, after: int | None = None, trigger: str = "2 seconds") -> StreamingQuery:
     """Write the events of each batch of messages as JSON documents, by key in order. ``relations`` are those known before, newer ones
     come with the messages. Batches follow each other in position. A transaction is written with the batch of its commit: what is open at
-    the end of a batch, and relations, wait in a table beside the checkpoint, by batch id."""
-    waiting = f"{checkpoint.rstrip('/')}_open"
+    the end of a batch, and relations, wait in a table beside the checkpoint, by batch id. ``after`` is the position of the snapshot (``pin``)."""
+    folder = f"{checkpoint.rstrip('/')}_open"
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        jvm = spark._jvm.org.apache.hadoop.fs
-        folder = jvm.Path(waiting)
-        fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-        earlier = sorted(i for i in (int(x.getPath().getName()) for x in fs.listStatus(folder)) if i < batch_id) if fs.exists(folder) else []
-        log = (batch.unionByName(spark.read.schema(wal.MESSAGE).parquet(f"{waiting}/{earlier[-1]}")) if earlier else batch).persist()
+        earlier = [i for i in sorted(map(int, names(spark, folder))) if i < batch_id]
+        part = batch.persist()
         try:
-            known = relations.unionByName(log, allowMissingColumns=True).filter("kind = 'R'").dropDuplicates(["rel_id", "pos"])
-            events = wal.decode(wal.with_relation(wal.assemble(log), known))
+            events, left = step(part, spark.read.schema(wal.MESSAGE).parquet(f"{folder}/{earlier[-1]}") if earlier else None, relations, after)
             keyed = events.select(envelope.message_key(F.col("table"), F.col("pk")).alias("key"), F.to_json(F.struct(*envelope.FIELDS)).alias("value"), "seq")
             keyed.repartition("key").sortWithinPartitions("key", "seq").write.mode("overwrite").json(f"{out}/batch={batch_id}")
-            wal.still_open(log).write.mode("overwrite").parquet(f"{waiting}/{batch_id}")
+            left.write.mode("overwrite").parquet(f"{folder}/{batch_id}")
         finally:
-            log.unpersist()
+            part.unpersist()
         for i in earlier[:-1]:  # only the last batch can be run again
-            fs.delete(jvm.Path(f"{waiting}/{i}"), True)
+            fs, p = file_system(spark, f"{folder}/{i}")
+            fs.delete(p, True)
 
-    return _start(messages, write, checkpoint, once)
+    return _start(messages, write, checkpoint, once, trigger)
 
 
-def start_apply(events: DataFrame, tables: dict[str, TableSpec], root: str, checkpoint: str, once: bool = True, trigger: str = "2 seconds", on_error: str = "fail") -> StreamingQuery:
+def start_apply(events: DataFrame, tables: dict[str, TableSpec], root: str, checkpoint: str, once: bool = True, trigger: str = "2 seconds", on_error: str = "fail", buckets: int = 32) -> StreamingQuery:
     """Apply a stream of (value JSON, seq) to the keyed tables under ``root``. Each batch is folded and merged table by table.
 
     New columns in a batch's types widen the table; a column's first type stays. Events of tables without a spec raise.
@@ -74,7 +90,7 @@ def start_apply(events: DataFrame, tables: dict[str, TableSpec], root: str, chec
                 spec = tables[name]
                 spec.types = {**(shapes[name] or {}), **spec.types}
                 changes = envelope.stage(decoded.filter(F.col("table") == name), spec.pk, spec.types)
-                KeyedTable(batch.sparkSession, f"{root}/{name}", spec.pk).apply(changes, batch_id)
+                KeyedTable(batch.sparkSession, f"{root}/{name}", spec.pk, buckets).apply(changes, batch_id)
         finally:
             decoded.unpersist()
 
@@ -86,6 +102,24 @@ def _start(stream: DataFrame, write, checkpoint: str, once: bool, trigger: str =
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=trigger)).start()
 
 
+def pin(spark: SparkSession, path: str, position: int, version: str) -> tuple[dict, bool]:
+    """Create or resume: the position of the log and the version of the snapshot that belong together, and whether they are new.
+
+    The first call writes both in one file, which is never replaced; later calls, after a restart, get what was pinned. A snapshot at that
+    version and the transactions behind that position are the whole."""
+    fs, p = file_system(spark, path)
+    fresh = not fs.exists(p)
+    if fresh:
+        tmp = file_system(spark, f"{path}.{uuid.uuid4().hex}")[1]
+        out = fs.create(tmp, False)
+        out.write(bytearray(json.dumps({"position": position, "version": version}).encode()))
+        out.close()
+        if not fs.rename(tmp, p):
+            fs.delete(tmp, False)
+            fresh = False
+    return json.loads("".join(r[0] for r in spark.read.text(path).collect())), fresh
+
+
 def backfill(table: KeyedTable, source: DataFrame, started: str) -> bool:
     """Copy a pinned snapshot as version 0 of the table. A crash before the end leaves no marker, so the next start does it again."""
     m = table.manifest()

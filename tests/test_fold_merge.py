@@ -115,3 +115,26 @@ def test_change_of_key_carries_what_was_not_sent(spark):
     df = df.select("id", "name", F.when(F.col("seq") == 12, "new two").alias("notes"), cdc(F.col("op"), F.col("seq"), None, None, F.col("kept"), None, F.col("old")))
     after = merge(target, fold(carry(df, target, ["id"]), ["id"]), ["id"])
     assert {tuple(r) for r in after.collect()} == {(11, "a", "big one"), (12, "b", "new two"), (13, "c", None)}
+
+
+def test_keys_that_change_again_and_again(spark):
+    """Four changes of key in a batch: each column comes from the last row of the chain that had it."""
+    target = spark.createDataFrame([(1, "a", "big one")], "id int, name string, notes string")
+    rows, key = [], 1
+    for n, new in enumerate((11, 21, 31, 41)):
+        rows += [(key, None, "d", 10 * n, [], None), (new, None, "c", 10 * n + 1, ["name", "notes"], {"id": str(key)})]
+        if new == 21:
+            rows.append((new, "renamed", "u", 10 * n + 2, ["notes"], None))
+        key = new
+    df = spark.createDataFrame(rows, "id int, name string, op string, seq long, kept array<string>, old map<string,string>").withColumn("notes", F.lit(None).cast("string"))
+    df = df.select("id", "name", "notes", cdc(F.col("op"), F.col("seq"), None, None, F.col("kept"), None, F.col("old")))
+    after = merge(target, fold(carry(df, target, ["id"]), ["id"]), ["id"])
+    assert {tuple(r) for r in after.collect()} == {(41, "renamed", "big one")}
+
+
+def test_names_with_backticks_and_dots(spark):
+    df = spark.createDataFrame([(1, "x"), (2, "y")], "`a``b` int, `c.d ``` string").select("*", cdc(F.lit("c"), F.lit(1)))
+    folded = fold(df, ["a`b"])
+    got = merge(materialize(folded), folded, ["a`b"])
+    assert {tuple(r) for r in got.collect()} == {(1, "x"), (2, "y")} and got.columns == ["a`b", "c.d `"]
+    assert {r["action"] for r in classify(materialize(folded), folded, ["a`b"]).collect()} == {"update"}

@@ -17,7 +17,25 @@ def test_digest_ignores_partitioning_and_row_order(spark):
     df = spark.range(1000).select("id", (F.col("id") * 7 % 13).alias("v"))
     digests = {verify.checksum(x, ["id"]).first()["digest"] for x in (df, df.repartition(7), df.orderBy(F.desc("id")))}
     assert len(digests) == 1
-    assert verify.checksum(df, ["id"], digits=1).first()["count"] == 1000
+    assert verify.checksum(df, ["id"], digits=4).first()["count"] == 1000
+
+
+def test_digest_of_more_levels(spark, monkeypatch):
+    import hashlib
+
+    df = spark.range(3000).select(F.col("id"), (F.col("id") * 7 % 13).alias("v"))
+    monkeypatch.setattr(verify, "CHUNK_ROWS", 8)  # 3000 rows then ask for 4 digits
+    md5 = lambda s: hashlib.md5(s.encode()).hexdigest()
+
+    def slow(prefix, rows):
+        if len(prefix) == 4:
+            return md5("".join(h for _, h in sorted(rows)))
+        parts = {}
+        for k, h in rows:
+            parts.setdefault(md5(k)[: len(prefix) + 2], []).append((k, h))
+        return md5("".join(slow(p, r) for p, r in sorted(parts.items())))
+
+    assert tuple(verify.checksum(df, ["id"]).first()) == (3000, slow("", [(str(i), md5(f"{i}|{i * 7 % 13}")) for i in range(3000)]))
 
 
 def test_compare_and_report(spark):
@@ -56,3 +74,22 @@ def test_latency(spark, tmp_path):
     latency.write_csv(latency.by_minute(df), str(tmp_path / "out"))
     (file,) = (tmp_path / "out").glob("*.csv")
     assert file.read_text().splitlines()[:2] == ["minute,row_count,avg_latency_s,p95_latency_s,max_latency_s", "2024-01-01 00:00:00,2,2.000,2.900,3.000"]
+
+
+def test_percentile_over_ranges(spark):
+    """Exact over few and many rows, over one and several ranges of a second."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    rows = [(i % 3, int(us)) for i, us in enumerate(rng.choice([10, 10**4, 10**6, 5 * 10**7], 700) * rng.random(700))] + [(7, 5), (8, 1), (8, 4 * 10**6)]
+    df = spark.createDataFrame(rows, "k int, us long")
+    counts = df.groupBy("k", "us").agg(F.count(F.lit(1)).alias("n"))
+    for q in (0.0, 0.5, 0.95, 1.0):
+        got = {r["k"]: r["p"] for r in latency._percentile(counts, "k", q, "p").collect()}
+        for k in {k for k, _ in rows}:
+            assert abs(got[k] - np.quantile([u for j, u in rows if j == k], q) / 1e6) < 1e-9
+
+
+def test_latency_of_nothing(spark):
+    df = spark.createDataFrame([], "_cdc_commit_ts timestamp, _cdc_applied_at timestamp")
+    assert latency.by_minute(df).count() == 0 and latency.overall(df).first()["p95_true_s"] is None
