@@ -13,6 +13,7 @@ from fractions import Fraction
 import numpy as np
 import pytest
 import sentencepiece
+import xxhash
 from millrace.llm import langid, media, mixing, progressive_jpeg, quality
 from millrace.llm import sentencepiece_codec as codec
 from millrace.llm.sharding import shard, write_shards
@@ -89,6 +90,34 @@ def test_shards(docs, n, segment):
     check_shards(shard(docs, n, segment_rows=segment).collect(), docs, n)
 
 
+def slow_shards(rows, n, tolerance):
+    """Each row's possible shards: rows in order of (hash of text, hash of id), cut where a cut is within the tolerance of its goal, or nearest to it."""
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    seven = xxhash.xxh64_intdigest((7).to_bytes(4, "little"), 42)
+    keyed = sorted((signed(xxhash.xxh64_intdigest((t or "").encode(), 42)), signed(xxhash.xxh64_intdigest(i.to_bytes(8, "little", signed=True), seven)), i, len((t or "").encode()) + 1) for i, t in rows)
+    whole, at, cuts = sum(k[3] for k in keyed), 0, [(0, None)]
+    for k in keyed:
+        at += k[3]
+        cuts.append((at, k[2]))
+    goals = [whole * i / n for i in range(1, n)]
+    best = [min(abs(c - g) for c, _ in cuts) for g in goals]
+    slack = tolerance * whole / n
+    return keyed, cuts, [[c for c, _ in cuts if abs(c - g) <= max(b, slack)] for g, b in zip(goals, best, strict=True)]
+
+
+@pytest.mark.parametrize("n", [8, 3])
+def test_shards_equal_brute_force(docs, n):
+    keyed, _, allowed = slow_shards([(r["doc_id"], r["text"]) for r in docs.collect()], n, 0.001)
+    shard_of = {r["doc_id"]: (r["shard"], r["slot"]) for r in shard(docs, n).collect()}
+    placed = [shard_of[i][0] for _, _, i, _ in keyed]
+    assert placed == sorted(placed)
+    size = Counter()
+    for (_, _, i, z), s in zip(keyed, placed, strict=True):
+        size[s] += z
+    below = list(itertools.accumulate(size[i] for i in range(n)))
+    assert all(below[i] in allowed[i] for i in range(n - 1))
+
+
 def test_shards_of_edges_and_of_one_hot_text(spark, edges, empty):
     check_shards(shard(edges, 8).collect(), edges, 8)
     assert shard(empty, 8).collect() == []
