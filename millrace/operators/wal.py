@@ -16,7 +16,7 @@ MESSAGE = f"pos bigint, kind string, rel_id int, `table` string, columns array<s
 
 
 #: Positions of a segment: a segment has as many rows at most. And segments that are carried over in one window.
-SEGMENT, FAN = 1 << 16, 1 << 12
+SEGMENT, FAN = 1 << 14, 1 << 12
 
 
 def _so_far(*partition: str, order: str) -> WindowSpec:

@@ -135,3 +135,13 @@ def test_snapshot_needs_schema_and_key(spark):
         snapshot.events(df, "t", ["id"], F.lit("2024-01-01"))
     with pytest.raises(ValueError, match="no key"):
         snapshot.events(df, "public.t", [], F.lit("2024-01-01"))
+
+
+def test_records_of_a_topic_and_back(spark):
+    from millrace.sources import topic
+
+    e = spark.createDataFrame([("t:1", '{"op":"c"}'), ("t:2", "é")], "key string, value string")
+    sent = topic.records(e)
+    assert dict(sent.dtypes) == {"key": "binary", "value": "binary"}
+    got = topic.messages(sent.withColumn("partition", F.lit(0)).withColumn("offset", F.monotonically_increasing_id()))
+    assert {(r["key"], r["value"]) for r in got.collect()} == {("t:1", '{"op":"c"}'), ("t:2", "é")} and dict(got.dtypes)["seq"] == "bigint"
