@@ -14,7 +14,7 @@ import numpy as np
 import pytest
 import sentencepiece
 import xxhash
-from millrace.llm import langid, media, mixing, progressive_jpeg, quality
+from millrace.llm import common, langid, media, mixing, progressive_jpeg, quality
 from millrace.llm import sentencepiece_codec as codec
 from millrace.llm.sharding import shard, write_shards
 from pyspark.sql import functions as F
@@ -479,7 +479,6 @@ def test_pipeline_keeps_the_language_that_was_found(spark):
 def test_run_leaves_one_table(spark, tmp_path):
     """Tables of finished stages are removed; the last one is read by the result."""
     import corpus_pipeline as pipe
-    from millrace.llm import common
 
     made, plain = [], common.written
 
@@ -526,7 +525,7 @@ def test_mixing_takes_each_row_as_often_as_the_mix_says(spark, repeats, docs):
     import corpus_pipeline as pipe
 
     many = repeats.unionByName(docs.select("doc_id", "text", "lang", "source", "n_chars").limit(60)).unionByName(docs.limit(90).select(F.lit(None).cast("long").alias("doc_id"), "text", "lang", "source", "n_chars"))
-    many = many.localCheckpoint()
+    many = common.checkpointed(many)
     size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
     want = Counter()
     for r in mixing.mix(many).collect():
