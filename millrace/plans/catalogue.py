@@ -164,14 +164,14 @@ def key_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def wal_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The log decoded in three parts, cut inside transactions; what is open at a cut is handed on."""
+    """The log decoded in two parts, cut inside a transaction; what is open there is handed on."""
     m = log.wal_msgs(spark, sf_dir)
     last = m.agg(F.max("pos")).first()[0]
-    cuts = [-2, last // 3 + 2, 2 * last // 3 + 5, last]
+    cuts = [-2, last // 20 * 10 + 3, last]
     out, waiting = None, None
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
         events, left = step(m.filter((F.col("pos") > a) & (F.col("pos") <= b)), waiting)
-        out, waiting = (events if out is None else out.unionByName(events)), left.persist()
+        out, waiting = (events if out is None else out.unionByName(events)), left.persist()  # a few rows
     return _decoded(out)
 
 
