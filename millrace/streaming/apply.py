@@ -7,7 +7,6 @@ bounded by files or offsets for each trigger (``maxFilesPerTrigger``, ``maxOffse
 from __future__ import annotations
 
 import json
-import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 from millrace.operators import envelope, wal
 from millrace.operators.merge import APPLIED_AT, COMMIT_TS
 from millrace.sources import snapshot
-from millrace.streaming.table import KeyedTable, file_system, names
+from millrace.streaming.table import KeyedTable, file_system, names, read_text, write_text
 
 
 @dataclass
@@ -107,17 +106,8 @@ def pin(spark: SparkSession, path: str, position: int, version: str) -> tuple[di
 
     The first call writes both in one file, which is never replaced; later calls, after a restart, get what was pinned. A snapshot at that
     version and the transactions behind that position are the whole."""
-    fs, p = file_system(spark, path)
-    fresh = not fs.exists(p)
-    if fresh:
-        tmp = file_system(spark, f"{path}.{uuid.uuid4().hex}")[1]
-        out = fs.create(tmp, False)
-        out.write(bytearray(json.dumps({"position": position, "version": version}).encode()))
-        out.close()
-        if not fs.rename(tmp, p):
-            fs.delete(tmp, False)
-            fresh = False
-    return json.loads("".join(r[0] for r in spark.read.text(path).collect())), fresh
+    fresh = write_text(spark, path, json.dumps({"position": position, "version": version}))
+    return json.loads(read_text(spark, path)), fresh
 
 
 def backfill(table: KeyedTable, source: DataFrame, started: str) -> bool:

@@ -9,6 +9,7 @@ redelivery harmless.
 from __future__ import annotations
 
 import json
+import uuid
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,6 +35,29 @@ def names(spark: SparkSession, path: str) -> list[str]:
     return [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
 
 
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file as a whole, read by the driver."""
+    fs, p = file_system(spark, path)
+    stream = fs.open(p)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> bool:
+    """Create a small file in one step; False, and nothing done, if there is one."""
+    fs, p = file_system(spark, path)
+    tmp = file_system(spark, f"{path}.{uuid.uuid4().hex}.tmp")[1]
+    out = fs.create(tmp, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+    if fs.exists(p) or not fs.rename(tmp, p):
+        fs.delete(tmp, False)
+        return False
+    return True
+
+
 class KeyedTable:
     """``buckets`` is that of a new table; choose it so that a bucket is about a file (128 MB), and well above the keys of a batch."""
 
@@ -58,7 +82,7 @@ class KeyedTable:
         if not known:
             return None
         n = known[-1] if version is None else version
-        return json.loads("".join(r[0] for r in self.spark.read.text(f"{self.path}/manifest/{n}.json").collect()))
+        return json.loads(read_text(self.spark, f"{self.path}/manifest/{n}.json"))
 
     def read(self, version: int | None = None, only: set[int] | None = None) -> DataFrame | None:
         """The newest version or the one asked for, or some buckets of it; None before the first."""
@@ -84,12 +108,7 @@ class KeyedTable:
         made = {name.split("=")[1]: n for name in self._names(f"{self.path}/data/v={n}") if name.startswith(f"{BUCKET}=")}
         kept = {} if touched is None else {b: v for b, v in last.get("where", {}).items() if int(b) not in touched}
         body = {"version": n, "pk": self.pk, "buckets": last.get("buckets", self.buckets), "where": kept | made, "schema": df.schema.jsonValue(), "last_batch_id": last.get("last_batch_id", -1) if batch_id is None else batch_id, "backfill_done": last.get("backfill_done", False)} | more
-        fs, p = self._fs(f"{self.path}/manifest/{n}.json")
-        tmp = self._fs(f"{self.path}/manifest/{n}.json.tmp")[1]
-        out = fs.create(tmp, True)
-        out.write(bytearray(json.dumps(body).encode()))
-        out.close()
-        if fs.exists(p) or not fs.rename(tmp, p):
+        if not write_text(self.spark, f"{self.path}/manifest/{n}.json", json.dumps(body)):
             raise RuntimeError(f"version {n} of {self.path} was committed by another writer")
         return n
 
@@ -116,11 +135,11 @@ class KeyedTable:
             return False
         changes = changes.persist()
         try:
-            # at most as many rows as buckets
-            keys = {r[0] for r in changes.select(self.bucket([col(k) for k in self.pk]).alias("b")).distinct().collect()}
-            kinds = dict(changes.dtypes)
-            old = [F.try_element_at(F.col(f"{CDC}.moved_from"), F.lit(k)).cast(kinds[k]) for k in self.pk]
-            former = {r[0] for r in changes.filter(F.col(f"{CDC}.moved_from").isNotNull()).select(self.bucket(old).alias("b")).distinct().collect()}
+            kinds, moved = dict(changes.dtypes), F.col(f"{CDC}.moved_from")
+            old = [F.try_element_at(moved, F.lit(k)).cast(kinds[k]) for k in self.pk]
+            # sets of buckets, at most all of them
+            found = changes.agg(F.collect_set(self.bucket([col(k) for k in self.pk])), F.collect_set(F.when(moved.isNotNull(), self.bucket(old)))).first()
+            keys, former = set(found[0]), set(found[1])
             carried = carry(changes, self.read(only=keys | former), self.pk) if former else changes
             folded = fold(carried, self.pk).persist()
             now = self.read(only=keys)

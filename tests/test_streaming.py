@@ -9,6 +9,7 @@ from millrace.operators import verify
 from millrace.operators.fold import cdc
 from millrace.sources import changelog
 from millrace.streaming.apply import TableSpec, backfill, start_apply, start_capture
+from millrace.streaming import table as table_module
 from millrace.streaming.table import KeyedTable
 
 
@@ -25,11 +26,13 @@ def test_redelivery_is_skipped_and_crashes_leave_the_old_version(spark, tmp_path
     t = KeyedTable(spark, str(tmp_path / "t"), ["id"])
     assert t.apply(changes(spark, [(1, "a", "c", 1), (2, "b", "c", 2)]), 0)
     assert not t.apply(changes(spark, [(9, "z", "c", 1)]), 0)
-    fail = KeyedTable(spark, t.path, ["id"])
-    real = fail._fs
-    monkeypatch.setattr(fail, "_fs", lambda p: (_ for _ in ()).throw(RuntimeError("crash")) if p.endswith("1.json") else real(p))
-    with pytest.raises(RuntimeError, match="crash"):
-        fail.apply(changes(spark, [(1, None, "d", 3)]), 1)
+    with monkeypatch.context() as m:
+        m.setattr(table_module, "write_text", lambda *_: (_ for _ in ()).throw(RuntimeError("crash")))
+        with pytest.raises(RuntimeError, match="crash"):
+            t.apply(changes(spark, [(1, None, "d", 3)]), 1)
+        m.setattr(table_module, "write_text", lambda *_: False)
+        with pytest.raises(RuntimeError, match="another writer"):
+            t.apply(changes(spark, [(1, None, "d", 3)]), 1)
     assert state(t) == {(1, "a"), (2, "b")}
     assert t.apply(changes(spark, [(1, None, "d", 3)]), 1)
     assert state(t) == {(2, "b")} and t.versions() == [0, 1]
