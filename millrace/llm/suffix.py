@@ -5,14 +5,14 @@ suffixes of a document are taken in runs: a neighbourhood of suffixes whose lowe
 which depends on the bytes of each suffix alone.
 
 1. Initial buckets, by q-gram: blocks of documents count their lowest q-grams in counters; a bucket with one document is done.
-2. Members of the other buckets are sorted by bucket and by the identifier of the whole run, down to its last offset. A run that also
-   stands in a smaller document is settled with all its suffixes. One that is alone in its bucket has no partner.
-3. Only where a bucket still holds different runs, the refinement goes on to single suffixes, for the smallest document of each run: they
-   are sorted by the identifier of all their ``length`` bytes, and that settles them.
+2. Members of the other buckets are sorted by the bucket identifiers at later offsets of the whole run, up to its last suffix's end. A run that
+   also stands in a smaller document is settled with all its suffixes. One that is alone in its bucket has no partner.
+3. Only where a bucket still holds different runs, the recursion goes on to single suffixes, for the smallest document of each run,
+   reusing the same identifiers: pairs at offsets 0 and ``length - q`` are sorted and settle them.
 4. Blocks remove the bytes covered by suffixes with a partner in a smaller document.
 
-The identifier of a bucket at full depth is the BLAKE2b digest of its bytes, not its place in a sorted array: a place would have to be asked
-for, suffix by suffix, from the range that sorted it, and sent back, which is several times the input at each round. Rolling hashes only
+The identifier of a bucket is the BLAKE2b digest of its q-gram's bytes, not its place in a sorted array: a place would have to be asked for,
+suffix by suffix, from the range that sorted it, and sent back, which is several times the input at each round. Rolling hashes only
 choose the buckets that are looked at.
 """
 
@@ -113,27 +113,38 @@ def _joined(parts: list[Part], ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return low, ids[doc] if len(doc) else np.zeros(0, np.int64)
 
 
+def _buckets(raw: bytes, q: int, *offsets: np.ndarray) -> list[np.ndarray]:
+    """Identifiers of the q-grams at several arrays of offsets; one that is asked for again and again is made once."""
+    places, back = np.unique(np.concatenate(offsets), return_inverse=True)
+    found = digests(raw, places, places + q)[0][back]
+    return np.split(found, np.cumsum([len(x) for x in offsets])[:-1])
+
+
 def _runs(parts: list[Part], chosen: np.ndarray, length: int) -> np.ndarray:
-    """Identifiers of the chosen runs of a block, from all their bytes."""
-    out, at = [np.zeros(0, np.uint64)], 0
+    """Identifiers of the chosen runs of a block: of the buckets at the first, a later and the last offset, which cover all its bytes, and
+    of how many suffixes it has."""
+    q, out, at = -(-length // 2), [np.zeros(0, np.uint64)], 0
     for p in parts:
         i = np.flatnonzero(chosen[at : at + len(p.low)])
         at += len(p.low)
-        out.append(digests(p.raw, p.first[i], p.last[i] + length)[0])
+        first, later, last = _buckets(p.raw, q, p.first[i], p.first[i] + (length - q), p.last[i] + (length - q))
+        out.append(mix64(mix64(mix64(first + (p.last[i] - p.first[i]).astype(np.uint64)) + later) + last))
     return np.concatenate(out)
 
 
 def _suffixes(parts: list[Part], chosen: np.ndarray, ids: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Identifiers (104 bits in two numbers) and document ids of all suffixes in the chosen runs of a block, in order."""
+    """Pairs of identifiers, at offsets 0 and ``length - q``, and document ids of all suffixes in the chosen runs of a block, in order. The
+    first of a pair is mixed with the second, so that suffixes that begin alike spread."""
+    q = -(-length // 2)
     k, t, d, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
     for p in parts:
         i = np.flatnonzero(chosen[at : at + len(p.low)])
         at += len(p.low)
         if len(i):
             place = spread(p.first[i], p.last[i])
-            one, two = digests(p.raw, place, place + length)
-            k.append(one)
-            t.append(two >> np.uint64(24))
+            near, far = _buckets(p.raw, q, place, place + (length - q))
+            k.append(mix64(near + mix64(far)))
+            t.append(far)
             d.append(np.repeat(ids[p.doc[i]], p.last[i] - p.first[i] + 1))
     return np.concatenate(k), np.concatenate(t), np.concatenate(d)
 
