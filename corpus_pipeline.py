@@ -52,18 +52,23 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: not at all, or one to three times."""
-    alike = ["__id", "__source", "__size"]
+    """Each document as often as the mix takes it: not at all, or one to three times.
 
-    def numbered(rows: DataFrame, *order: Column) -> DataFrame:
-        """Rows of the same id, source and size, which the mix doesn't tell apart, numbered from 1."""
-        keyed = rows.withColumn("__id", F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).withColumn("__source", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
-        return keyed.withColumn("__number", F.row_number().over(Window.partitionBy(*alike).orderBy(*order)))
+    Rows of the same id, source and size are alike to the mix: of each kind it is told how many are taken three times, twice and once, and
+    that many get as much, in order of their texts. Texts are shuffled once, by kind."""
+    kind = ["__id", "__source", "__size"]
 
-    mine = numbered(docs.withColumn("__size", F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")), F.xxhash64("text"), *(F.col(c) for c in docs.columns))
-    taken = numbered(mix(docs).withColumnRenamed("size", "__size"), F.col("copies")).filter("copies > 0").select(*alike, "__number", "copies")
-    rows = mine.join(taken, [*alike, "__number"])
-    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    def named(rows: DataFrame, size: Column) -> DataFrame:
+        keyed = rows.withColumn("__id", F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).withColumn("__source", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
+        return keyed.withColumn("__size", size)
+
+    mine = named(docs, F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long"))
+    upto = [F.count(F.when(F.col("copies") >= n, 1)).alias(f"__{n}") for n in (3, 2, 1)]
+    taken = named(mix(docs).filter("copies > 0"), F.col("size")).groupBy(*kind).agg(*upto)
+    number = F.row_number().over(Window.partitionBy(*kind).orderBy(F.xxhash64("text"), *(F.col(c) for c in docs.columns)))
+    rows = mine.join(taken, kind).withColumn("__number", number).filter(F.col("__number") <= F.col("__1"))
+    copies = F.when(F.col("__number") <= F.col("__3"), 3).when(F.col("__number") <= F.col("__2"), 2).otherwise(1)
+    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), copies))).select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
