@@ -5,10 +5,10 @@ suffixes of a document are taken in runs: a neighbourhood of suffixes whose lowe
 which depends on the bytes of each suffix alone.
 
 1. Initial buckets, by q-gram: blocks of documents count their lowest q-grams in counters; a bucket with one document is done.
-2. Members of the other buckets are sorted by the bucket identifiers at later offsets of the whole run, up to its last suffix's end. A run that
-   also stands in a smaller document is settled with all its suffixes. One that is alone in its bucket has no partner.
-3. Only where a bucket still holds different runs, the recursion goes on to single suffixes, for the smallest document of each run,
-   reusing the same identifiers: pairs at offsets 0 and ``length - q`` are sorted and settle them.
+2. Members of the other buckets are sorted by bucket and by the identifier of the whole run, to the end of its last suffix. A run that also
+   stands in a smaller document is settled with all its suffixes. One that is alone in its bucket has no partner.
+3. Only where a bucket still holds different runs, the recursion goes on to single suffixes, for the smallest document of each run: pairs of
+   q-gram identifiers at offsets 0 and ``length - q`` are sorted and settle them; an identifier made for one offset is reused at the other.
 4. Blocks remove the bytes covered by suffixes with a partner in a smaller document.
 
 The identifier of a bucket is the BLAKE2b digest of its q-gram's bytes, not its place in a sorted array: a place would have to be asked for,
@@ -121,14 +121,12 @@ def _buckets(raw: bytes, q: int, *offsets: np.ndarray) -> list[np.ndarray]:
 
 
 def _runs(parts: list[Part], chosen: np.ndarray, length: int) -> np.ndarray:
-    """Identifiers of the chosen runs of a block: of the buckets at the first, a later and the last offset, which cover all its bytes, and
-    of how many suffixes it has."""
-    q, out, at = -(-length // 2), [np.zeros(0, np.uint64)], 0
+    """Identifiers of the chosen runs of a block, at the depth of a whole run: of all bytes up to the end of its last suffix."""
+    out, at = [np.zeros(0, np.uint64)], 0
     for p in parts:
         i = np.flatnonzero(chosen[at : at + len(p.low)])
         at += len(p.low)
-        first, later, last = _buckets(p.raw, q, p.first[i], p.first[i] + (length - q), p.last[i] + (length - q))
-        out.append(mix64(mix64(mix64(first + (p.last[i] - p.first[i]).astype(np.uint64)) + later) + last))
+        out.append(digests(p.raw, p.first[i], p.last[i] + length)[0])
     return np.concatenate(out)
 
 
