@@ -65,8 +65,9 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     mine = named(docs, F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long"))
     upto = [F.count(F.when(F.col("copies") >= n, 1)).alias(f"__{n}") for n in (3, 2, 1)]
     taken = named(mix(docs).filter("copies > 0"), F.col("size")).groupBy(*kind).agg(*upto)
-    number = F.row_number().over(Window.partitionBy(*kind).orderBy(F.xxhash64("text"), *(F.col(c) for c in docs.columns)))
-    rows = mine.join(taken, kind).withColumn("__number", number).filter(F.col("__number") <= F.col("__1"))
+    number = F.row_number().over(Window.partitionBy(*kind).orderBy(F.xxhash64("text"), F.xxhash64(*docs.columns)))
+    # one short row for each kind is hashed, so that texts are sorted once, for their numbers
+    rows = mine.join(taken.hint("shuffle_hash"), kind).withColumn("__number", number).filter(F.col("__number") <= F.col("__1"))
     copies = F.when(F.col("__number") <= F.col("__3"), 3).when(F.col("__number") <= F.col("__2"), 2).otherwise(1)
     return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), copies))).select(*docs.columns)
 
