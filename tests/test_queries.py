@@ -1,11 +1,13 @@
 """Every registered query of the engine against its SQL, on the smallest tables."""
 
+import hashlib
 import os
 
 import duckdb
 import pytest
 
 from millrace.plans import catalogue
+from millrace.sources import changelog
 
 SF = "/root/testdata/sf0.001"
 
@@ -33,6 +35,35 @@ def test_query_equals_its_sql(spark, db, name):
     assert text(df.collect(), df.columns) == text(ran.fetchall(), names)
 
 
+def test_load_has_more_tasks_for_more_iterations(spark):
+    for n in (0, 1, 100_000, 1_000_000):
+        assert changelog.load_changelog(spark, n).rdd.getNumPartitions() >= n / 10_000
+
+
+def test_load_folds_digests_and_not_notes(spark):
+    """Nothing is digested above the grouping, so no notes are sorted or shuffled."""
+    df = catalogue.load_changelog(spark, SF)
+    plan = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    top = next(i for i, line in enumerate(plan) if "Aggregate" in line)
+    assert not any("md5(" in line for line in plan[: top + 1]) and any("md5(" in line for line in plan[top + 1 :])
+
+
+def test_load_over_many_tasks(spark, tmp_path, monkeypatch):
+    """Cuts between tasks separate creation and deletion of a row."""
+    monkeypatch.setattr(changelog, "ITERATIONS", 2)
+    n = 25
+    spark.range(n).withColumnRenamed("id", "c_custkey").write.parquet(str(tmp_path / "customer.parquet"))
+    md5 = lambda s: hashlib.md5(s.encode()).hexdigest()
+    expected = set()
+    for i in range(1, n + 1):
+        if (i + 1) % 3 or i == n:
+            notes = "".join(md5(f"{i}-{j}") for j in range(1, 301))
+            expected |= {("animal", i, "adult", 0, md5("")), ("observation", i, "moved", 9600, md5(notes))}
+    got = catalogue.load_changelog(spark, str(tmp_path)).collect()
+    assert {tuple(r) for r in got} == expected and len(got) == len(expected)
+    assert changelog.load_changelog(spark, n).rdd.getNumPartitions() == 13
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
